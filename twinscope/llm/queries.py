@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import quality_rules, source_mixing
+from twinscope.llm import language_id, packing, quality_rules, source_mixing, toxicity
 from twinscope.llm.shared import table
 
 
@@ -22,5 +22,26 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.orderBy("first_position", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.drop("lang"), model, keep=("doc_id", "held_out"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op5_packing, op9_toxicity, op10_language_id)}
 ORACLE: dict[str, str] = {}

@@ -97,10 +97,10 @@ def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
-def text_steps(column, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_steps(column, step: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of an Arrow string or binary column: (first row, end row, bytes, row
-    offsets into them). Null rows are empty. A piece holds whole rows, and more than
-    ``step`` bytes only if it is one row."""
+    offsets into them). Null rows are empty. A piece holds whole rows, ``rows`` at most,
+    and more than ``step`` bytes only if it is one row."""
     import pyarrow as pa
 
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -116,7 +116,7 @@ def text_steps(column, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.nd
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(at, at[lo] + step, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
@@ -149,6 +149,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+IS_NO_LETTER = np.ones(256, bool)
+IS_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capital letters of Latin-1 in lower case."""
+    up = (data >= 65) & (data <= 90)
+    if len(data) > 1:
+        up[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return data + (up * np.uint8(32))
+
+
 class Spans:
     """Hashes of any spans of one byte array, each in constant time: a prefix
     polynomial modulo 2^64. Equal spans have equal hashes wherever they lie."""
@@ -167,10 +179,10 @@ _IS_GAP = np.zeros(256, bool)
 _IS_GAP[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, rows: np.ndarray, is_gap: np.ndarray = _IS_GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each row) of the words in ``data``; rows are
-    boundaries too."""
-    solid = ~_IS_GAP[data]
+    boundaries too. ``is_gap`` says which bytes separate words."""
+    solid = ~is_gap[data]
     edge = np.empty(len(data), bool)
     if len(data):
         edge[0] = True
