@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import language_id, packing, quality_rules, simhash, source_mixing, toxicity
+from twinscope.llm import language_id, packing, quality_rules, simhash, source_mixing, substring_dedup, toxicity
 from twinscope.llm.shared import table
 
 
@@ -35,6 +35,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out(F.col("doc_id"), 5, 0).alias("held_out"))
     model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -48,5 +54,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op5_packing, op6_simhash, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op5_packing, op6_simhash, op7_substring_dedup, op9_toxicity, op10_language_id)}
 ORACLE: dict[str, str] = {}
