@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import language_id, packing, quality_rules, simhash, source_mixing, substring_dedup, toxicity
-from twinscope.llm.shared import table
+from twinscope.llm import language_id, packing, quality_rules, simhash, source_mixing, substring_dedup, toxicity, warc
+from twinscope.llm.shared import new_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path)
+    page = lambda c: F.regexp_extract(c, warc.URN + r"(-?\d+)>", 1).try_cast("long")
+    return records.select(
+        page(F.col("id")).alias("page_id"),
+        "payload_bytes",
+        F.coalesce(F.sha2("payload", 256), F.regexp_replace("digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out(F.col("doc_id"), 5, 0).alias("held_out"))
     model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -54,5 +68,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op5_packing, op6_simhash, op7_substring_dedup, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op5_packing, op6_simhash, op7_substring_dedup, op8_warc, op9_toxicity, op10_language_id)}
 ORACLE: dict[str, str] = {}
