@@ -18,6 +18,7 @@ again; null keys are kept; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,27 +26,37 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers; it starts over when there are more.
-CACHED_WORDS = 300_000
-#: Characters that end a word for every tokeniser that drops white space.
-SPACES = re.compile("[ \t\n\r\x0b\x0c]+")
+from twinscope.llm import shared
+
+#: Words whose ids a worker remembers (about 40 bytes each); it starts over when there are more.
+CACHED_WORDS = 1_000_000
+#: Bytes of text that are encoded in one step.
+STEP_BYTES = 4 << 20
 _PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordEncoder:
     """Ids of whole texts by a tokeniser that drops white space and joins nothing
-    across it, so that a text's ids are those of its words. Words met before are looked
-    up; plain ASCII words skip the normaliser, whose effect on them is lower case."""
+    across it, so that a text's ids are those of its words.
+
+    A step of many texts is encoded at once: words are told apart by a 64-bit hash, only
+    words not met before are encoded, and the ids are gathered from one flat array. Plain
+    ASCII words skip the normaliser, whose effect on them is lower case.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_str(definition)
         self._model = self._whole.model
-        self._words: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self._parts: dict[str, list[int]] = {}
+        self._h, self._entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._start, self._size, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _word(self, word: str) -> list[int]:
+    def word(self, word: str) -> list[int]:
         if not word.isascii() or not word.isprintable() or "'" in word or "<|" in word:
             return self._whole.encode(word, add_special_tokens=False).ids
         out: list[int] = []
@@ -56,18 +67,51 @@ class WordEncoder:
             out += ids
         return out
 
-    def __call__(self, text: str) -> list[int]:
-        if len(self._words) > CACHED_WORDS:
-            self._words.clear()
-            self._parts.clear()
-        known, out = self._words, []
-        for word in SPACES.split(text):
-            if word:
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = self._word(word)
-                out += ids
-        return out
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        ids = [self.word(w) for w in words]
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
+        h = np.concatenate([self._h, h])
+        entry = np.concatenate([self._entry, len(self._start) + np.arange(len(words))])
+        order = np.argsort(h, kind="stable")  # two sorted runs, merged
+        self._h, self._entry = h[order], entry[order]
+        self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
+        self._ids = np.concatenate([self._ids, flat])
+
+    def rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, their number in each row) for a piece of texts."""
+        starts, ends, before = shared.word_spans(data, at)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(at) - 1, np.int64)
+        kinds, first, which = np.unique(shared.Spans(data).of(starts, ends), return_index=True, return_inverse=True)
+        if len(self._h) > CACHED_WORDS:
+            self._forget()
+        slot = np.searchsorted(self._h, kinds)
+        new = np.ones(len(kinds), bool)
+        if len(self._h):
+            new = self._h[np.minimum(slot, len(self._h) - 1)] != kinds
+        if new.any():
+            whole, i = data.tobytes(), first[new]
+            self._learn(kinds[new], [whole[s:e].decode() for s, e in zip(starts[i].tolist(), ends[i].tolist())])
+            slot = np.searchsorted(self._h, kinds)
+        entry = self._entry[slot][which]
+        n = self._size[entry]
+        upto = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        ids = self._ids[np.repeat(self._start[entry] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[before])
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(definition: str) -> WordEncoder:
+    """This worker's encoder, which later tasks of the worker go on with."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = WordEncoder(definition)
+    return _encoders[definition]
 
 
 class Packer:
@@ -142,9 +186,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = WordEncoder(definition.value)
+        encoder = _encoder(definition.value)
         packer = Packer(capacity, fine, TaskContext.get().partitionId() << 33)
         schema: list = []
+        end = np.array([] if end_id is None else [end_id], "<u4")
 
         def table(pieces: list) -> pa.RecordBatch:
             doc, start, ids, seq, at = zip(*pieces)
@@ -155,14 +200,14 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         ready: list = []
         for batch in batches:
             schema[:] = [batch.column(0).type]
-            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(whole.as_py() or "")
-                if end_id is not None:
-                    ids.append(end_id)
-                ready += packer.add((name, len(ids)), np.array(ids, "<u4"))
-                if len(ready) >= 1000:
-                    yield table(ready)
-                    ready = []
+            for lo, hi, data, at in shared.text_steps(batch.column(1), STEP_BYTES):
+                flat, n = encoder.rows(data, at)
+                for name, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.split(flat, np.cumsum(n)[:-1])):
+                    ids = np.concatenate([ids, end])
+                    ready += packer.add((name, len(ids)), ids)
+                    if len(ready) >= 1000:
+                        yield table(ready)
+                        ready = []
         ready += packer.finish()
         for i in range(0, len(ready), 1000):
             yield table(ready[i : i + 1000])
