@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import language_id, packing, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup, toxicity, warc
+from twinscope.llm import embedding_dedup, language_id, packing, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup, toxicity, warc
 from twinscope.llm.shared import new_path, table
 
 
@@ -22,6 +22,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.orderBy("first_position", "doc_id")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
@@ -74,5 +78,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op4_suffix_dedup, op5_packing, op6_simhash, op7_substring_dedup, op8_warc, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_packing, op6_simhash, op7_substring_dedup, op8_warc, op9_toxicity, op10_language_id)}
 ORACLE: dict[str, str] = {}
