@@ -9,7 +9,9 @@ another one is lost.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -75,12 +77,12 @@ def _at_exit() -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose plans are done with (it does so when the
-    driver collects garbage)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files whose plans are done with. It does so when the
+    driver's JVM collects garbage, after Python has let go of the plans: twice round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words_of(text: Column) -> Column:

@@ -138,18 +138,20 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 30_000, kept_features: int = 1024, min_docs: int = 4) -> ToxicityModel:
-    """Learn from at most about ``max_positive`` confirmed toxic texts and
+    """Learn from at most ``max_positive`` confirmed toxic texts and about
     ``max_unlabelled`` texts in all, chosen by a hash of the key."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_toxic"))
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    marked = keyed.join(known, "_key", "left")
+    marked = keyed.select("_key").join(known, "_key", "left")
     n, n_known, n_toxic = marked.agg(F.count("*"), F.count("_toxic"), F.sum(F.coalesce("_toxic", F.lit(0)))).first()
     if not n_toxic:
         return ToxicityModel(np.zeros(0, np.int64), np.array([-30.0]), 0.0)
     prior = min(0.9, max(1e-3, n_toxic / n_known))
+    # The texts are not shuffled: the unlabelled are told by their keys' hashes, the positives by a list of bounded length.
     at = F.shiftrightunsigned(F.xxhash64("_key"), 1) / float(1 << 63)
-    as_p = (F.col("_toxic") == 1) & (at < max_positive / n_toxic)
-    chosen = marked.select("_text", F.coalesce(as_p, F.lit(False)).alias("p"), (at < max_unlabelled / n).alias("u")).where(F.col("p") | F.col("u"))
+    positive = marked.where("_toxic = 1").select("_key").distinct().orderBy(F.xxhash64("_key")).limit(max_positive).withColumn("p", F.lit(True))
+    chosen = keyed.join(F.broadcast(positive), "_key", "left").select("_text", F.coalesce("p", F.lit(False)).alias("p"), (at < max_unlabelled / n).alias("u"))
+    chosen = shared.stash(chosen.where(F.col("p") | F.col("u")), "toxicity-sample")
 
     def differences(batches: Iterator) -> Iterator:
         import pyarrow as pa
