@@ -1,15 +1,66 @@
-"""From raw documents to packed training sequences: five stages, each one operator."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
+returns what the next one reads: the columns of documents, but for the last stage, which
+returns the pieces of the packed sequences. SQL cannot express the learned rules, the
+fingerprints or the tokens, so there is no SQL for the result; the tests hold the stages
+against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinscope.llm import packing, quality_rules, shared, simhash, source_mixing, suffix_dedup
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor a learned rule rejects."""
+    judged = quality_rules.judge(docs.select(*COLUMNS), shared.table(spark, sf_dir, "labels"), with_text=True)
+    return judged.where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links: shingles of five words, and
+    fingerprints of 512 bits that differ as those of texts with a similarity of 0.8."""
+    return simhash.keep_one(docs.select(*COLUMNS), words=5, radius=simhash.radius_for(0.8, 8), width=8)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of 400-byte strings that occur more than once."""
+    cut = suffix_dedup.dedup(docs.select(*COLUMNS), keep=("lang", "source"), as_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's share asks, in the order of training."""
+    return source_mixing.in_training_order(docs.select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents at their places in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", mixing),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = shared.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = shared.stash(docs, name)
     return docs

@@ -224,14 +224,16 @@ def apply_rules(counted: DataFrame, rules: DecisionList) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", **options) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", with_text: bool = False, **options) -> DataFrame:
     """Count every text of ``docs``, learn rules from those with a label, judge all.
 
-    The counts (no texts) are written to the shared folder once, as learning and
-    judging both read them. Returns ``docs`` without its text, with the counts and the
-    verdict.
+    The counts (with the texts only if ``with_text``) are written to the shared folder
+    once, as learning and judging both read them. Returns ``docs``, without its text
+    unless ``with_text``, with the counts and the verdict.
     """
-    counted = shared.stash(with_counts(docs, text).drop(text), "text-counts")
-    taught = labels.groupBy(key).agg(F.min(label).alias("_label"))
-    rules = learn(counted.join(taught, key), "_label", key=key, **options)
+    counted = with_counts(docs, text)
+    counted = shared.stash(counted if with_text else counted.drop(text), "text-counts")
+    taught = labels.groupBy(F.col(key).alias("_taught")).agg(F.min(label).alias("_label"))
+    numbers = counted.select(key, *COUNTS, *MORE)
+    rules = learn(numbers.join(taught, numbers[key] == taught["_taught"]), "_label", key=key, **options)
     return apply_rules(counted, rules)

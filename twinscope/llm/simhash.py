@@ -13,6 +13,12 @@ the radius of its own distance. Shards meet their queries in one task; a shard a
 queries, so no task holds more than two blocks. Trees of many shards are built and
 walked together, level by level, in numpy.
 
+A fingerprint of one word says little about texts that are less than nearly equal.
+Longer ones (``width`` words) estimate the similarity of two texts' shingles well enough
+to link by it: radius_for() gives the radius. There, shards are the values of bits
+picked at random, enough of them that a pair at the radius is missed with a stated, small
+probability.
+
 Documents with equal fingerprints are one node, so copies are never expanded; a task
 emits the links of a spanning forest, at most one a node.
 
@@ -56,30 +62,34 @@ def shingle_bounds(data: np.ndarray, rows: np.ndarray, words: int) -> tuple[byte
     return text.tobytes(), at[first], at[last] + size[last], row
 
 
-def fingerprint(data: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
-    """The fingerprint of each text of a piece, as unsigned 64-bit numbers."""
+def fingerprint(data: np.ndarray, rows: np.ndarray, words: int, width: int = 1) -> np.ndarray:
+    """The fingerprint of each text of a piece: ``width`` unsigned 64-bit numbers a row,
+    the first from the shingles' XXH64, the others from that hash mixed anew."""
     from xxhash import xxh64_intdigest
 
     text, starts, ends, row = shingle_bounds(data, rows, words)
-    out = np.zeros(len(rows) - 1, np.uint64)
+    out = np.zeros((len(rows) - 1, width), np.uint64)
     if not len(starts):
         return out
     h = np.fromiter((xxh64_intdigest(text[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
     has, first = np.unique(row, return_index=True)
     n = np.diff(np.append(first, len(row)))
-    bits = np.zeros((len(has), 64), np.int64)
     step = 1 << 18
-    for lo in range(0, len(h), step):  # 16 MB of bits at a time
-        part = np.unpackbits(h[lo : lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        of = np.searchsorted(first, np.arange(lo, min(lo + step, len(h))), side="right") - 1
-        which, cut = np.unique(of, return_index=True)
-        bits[which] += np.add.reduceat(part, cut, axis=0, dtype=np.int64)
-    out[has] = np.packbits(2 * bits > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    for w in range(width):
+        own = h if w == 0 else shared.mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64)))
+        bits = np.zeros((len(has), 64), np.int64)
+        for lo in range(0, len(h), step):  # 16 MB of bits at a time
+            part = np.unpackbits(own[lo : lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            of = np.searchsorted(first, np.arange(lo, min(lo + step, len(h))), side="right") - 1
+            which, cut = np.unique(of, return_index=True)
+            bits[which] += np.add.reduceat(part, cut, axis=0, dtype=np.int64)
+        out[has, w] = np.packbits(2 * bits > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4) -> DataFrame:
-    """(key, fp): the fingerprint of each row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, width: int = 1) -> DataFrame:
+    """(key, fp, f): the fingerprint of each row's whole text as ``width`` signed longs,
+    f, and a long that stands for it, fp (the fingerprint itself if it is one)."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 
@@ -88,9 +98,17 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
         for batch in batches:
             for lo, hi, data, at in shared.text_steps(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fingerprint(data, at, words).view(np.int64))], ["_key", "fp"])
+                f = fingerprint(data, at, words, width).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * width), pa.array(f.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["_key", "f"])
+
+    made = rows.mapInArrow(work, f"_key {kind}, f array<long>")
+    return made.select(F.col("_key").alias(key), (F.get("f", F.lit(0)) if width == 1 else F.xxhash64("f")).alias("fp"), "f")
 
-    return rows.mapInArrow(work, f"_key {kind}, fp long").withColumnRenamed("_key", key)
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The differing bits of fingerprints given as rows of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
@@ -101,13 +119,14 @@ class Forest:
         self.fp = fp
         self.groups, self.roots = np.unique(group, return_index=True)
         self.sizes = np.diff(np.append(self.roots, len(group)))
+        self.most = 64 * fp.shape[1]
         item = np.setdiff1d(np.arange(len(fp)), self.roots)
         at = self.roots[np.searchsorted(self.groups, group[item])]
         codes, children = [], []
         while len(item):
-            d = np.bitwise_count(fp[item] ^ fp[at]).astype(np.int64)
+            d = _apart(fp[item], fp[at])
             item, at, d = item[d > 0], at[d > 0], d[d > 0]
-            code = at * 65 + d
+            code = at * (self.most + 1) + d
             kinds, first, inverse = np.unique(code, return_index=True, return_inverse=True)
             codes.append(kinds)
             children.append(item[first])
@@ -125,27 +144,27 @@ class Forest:
         node = self.roots[slot[query]]
         found_q, found_n = [], []
         while len(query):
-            d = np.bitwise_count(fp[query] ^ self.fp[node]).astype(np.int64)
+            d = _apart(fp[query], self.fp[node])
             hit = d <= radius
             found_q.append(query[hit])
             found_n.append(node[hit])
-            lo = np.searchsorted(self.codes, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.codes, node * 65 + np.minimum(d + radius, 64), side="right")
+            lo = np.searchsorted(self.codes, node * (self.most + 1) + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.codes, node * (self.most + 1) + np.minimum(d + radius, self.most), side="right")
             n = hi - lo
             query = np.repeat(query, n)
             node = self.children[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return np.concatenate(found_q or [query]), np.concatenate(found_n or [query])
 
 
-def shard_links(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, is_query: np.ndarray, radius: int, pairs: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest within each group; ``pairs`` bounds what is walked at once."""
-    fp = fp.view(np.uint64)
+def shard_links(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, is_query: np.ndarray, radius: int, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) of a spanning forest within each group; ``pairs`` bounds the
+    words of fingerprints that are compared at once."""
     tree, query = np.flatnonzero(is_tree), np.flatnonzero(is_query)
     parent = np.arange(len(fp))
     if len(tree) and len(query):
         forest = Forest(group[tree], fp[tree])
         slot = np.minimum(np.searchsorted(forest.groups, group[query]), len(forest.groups) - 1)
-        load = np.cumsum(forest.sizes[slot])
+        load = np.cumsum(forest.sizes[slot] * fp.shape[1])
         lo = 0
         while lo < len(query):
             hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + pairs, side="right")))
@@ -153,7 +172,7 @@ def shard_links(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, is_query
             graph.unite(parent, query[lo:hi][q], tree[n])
             lo = hi
     linked = np.flatnonzero(parent != np.arange(len(fp)))
-    return fp[linked].view(np.int64), fp[parent[linked]].view(np.int64)
+    return linked, parent[linked]
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -164,24 +183,46 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(each[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of ``nodes`` (distinct, column fp)
-    which are at most ``radius`` bits apart, directly or through others."""
+def sampled_masks(width: int, radius: int, n: int, miss: float = 0.02, seed: int = 17) -> list[list[int]]:
+    """Masks of a fingerprint of ``width`` words that each pick some bits at random. Two
+    fingerprints ``radius`` bits apart disagree under all of them with the probability
+    ``miss``, closer ones more rarely."""
+    rng = np.random.default_rng(seed)
+    bits = 64 * width
+    take = max(8, (n // 32).bit_length())
+    agree = float(np.prod([(bits - radius - i) / (bits - i) for i in range(take)]))
+    out = []
+    for _ in range(int(np.ceil(np.log(miss) / np.log(1 - agree)))):
+        mask = [0] * width
+        for b in rng.choice(bits, take, replace=False).tolist():
+            mask[b // 64] |= 1 << (b % 64)
+        out.append(mask)
+    return out
+
+
+def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int = 1) -> DataFrame:
+    """Links (a, b) that connect the fingerprints of ``nodes`` (columns fp, distinct, and
+    f) which are at most ``radius`` bits apart, directly or through others: all of them
+    for fingerprints of one word, all but rare ones (see sampled_masks) for longer ones."""
     n = nodes.count()
-    # Narrower shards for more fingerprints, so that an average shard stays small.
-    blocks = radius + 1
-    while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > 8:
-        blocks += 1
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, radius)]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    placed = nodes.select("fp", F.explode(keys).alias("shard"))
+    if width == 1:
+        # Narrower shards for more fingerprints, so that an average shard stays small.
+        blocks = radius + 1
+        while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > 8:
+            blocks += 1
+        masks = [[m] for m in block_masks(blocks, radius)]
+    else:
+        masks = sampled_masks(width, radius, n)
+    signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("f", F.lit(w)).bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for i, mask in enumerate(signed)])
+    placed = nodes.select("fp", "f", F.explode(keys).alias("shard"))
     crowded = placed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     placed = placed.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # A row is in the tree of its own block for all later blocks of queries, and queries the trees of all earlier ones.
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.select(
-        F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query")
+        F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "f", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query")
     )
 
     def work(batches: Iterator) -> Iterator:
@@ -190,15 +231,17 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFram
         held: list[list[np.ndarray]] = []
 
         def links_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            a, b = shard_links(*[np.concatenate(x) for x in zip(*parts)], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            g, fp, f, tree, query = [np.concatenate(x) for x in zip(*parts)]
+            a, b = shard_links(g, f, tree, query, radius)
+            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4)]
-            held.append(new)
-            if sum(len(x[0]) for x in held) >= 1 << 17:
+            g, fp, tree, query = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 3, 4))
+            f = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, width)
+            held.append([g, fp, f, tree, query])
+            if sum(x[2].size for x in held) >= 1 << 17:
                 g = np.concatenate([x[0] for x in held])
                 cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
                 if cut:
@@ -212,13 +255,34 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048) -> DataFram
     return each.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(work, "a long, b long")
 
 
-def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, radius: int = 4, shard_rows: int = 2048) -> DataFrame:
-    """(key, fp, component_id) for every row: its fingerprint and the smallest key among
-    the rows it is linked to, directly or through others."""
-    printed = shared.stash(fingerprints(docs, text, key, words), "fingerprints")
-    classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-classes")
-    roots = graph.components(links(classes.select("fp"), radius, shard_rows))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, radius: int = 4, shard_rows: int = 2048, width: int = 1) -> DataFrame:
+    """(key, fp, component_id) for every row: its fingerprint (see fingerprints) and the
+    smallest key among the rows it is linked to, directly or through others."""
+    printed = shared.stash(fingerprints(docs, text, key, words, width), "fingerprints")
+    classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least"), F.min("f").alias("f")), "fingerprint-classes")
+    roots = graph.components(links(classes.select("fp", "f"), radius, shard_rows, width))
+    rooted = classes.drop("f").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return printed.join(named, "fp").select(key, "fp", "component_id")
+
+
+def radius_for(similarity: float, width: int) -> int:
+    """The differing bits to expect of two sets of shingles of equal size with the given
+    Jaccard similarity (the angle between them, as a share of the bits), rounded up."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(np.ceil(64 * width * np.arccos(cosine) / np.pi))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 4, width: int = 1) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest key.
+    Rows with a null key stay only where no row of their group has a key."""
+    grouped = cluster(docs.select(key, text), text, key, words, radius, width=width)
+    kept = shared.stash(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp").distinct(), "kept-keys")
+    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    if kept.where("_kept is null").isEmpty():
+        return named
+    lone = docs.where(F.col(key).isNull())
+    prints = fingerprints(lone.select(F.xxhash64(text).alias("_th"), text), text, "_th", words, width).join(kept.where("_kept is null"), "fp").select("_th").distinct()
+    lone = lone.withColumn("_th", F.xxhash64(text)).join(prints, "_th", "left_semi").dropDuplicates(["_th"]).drop("_th")
+    return named.unionByName(lone.select(*docs.columns))

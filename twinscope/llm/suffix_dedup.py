@@ -234,10 +234,11 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
     return rows, repeats
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 2048, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 2048, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(key, n_bytes, spans, kept, and the columns named in ``keep``) for every row: the
     UTF-8 bytes of its text, the maximal runs of removed bytes as (start, end), and the
-    bytes that stay."""
+    bytes that stay; with ``as_text`` as a string, without characters that a cut left
+    incomplete."""
     if gram >= length:
         raise ValueError("gram must be shorter than length")
     rows, repeats = spans_of_repeats(docs, text, key, length, gram, crowd)
@@ -267,9 +268,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                 edge = [0, *[e for g in gone for e in (g["start"], g["end"])], len(data)]
                 n_bytes.append(len(data))
                 spans.append(gone)
-                kept.append(b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary()), *[batch.column(i) for i in range(3, batch.num_columns)]], ["name", "n_bytes", "spans", "kept", *[f"keep_{i}" for i in range(len(keep))]])
+                stay = b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2]))
+                kept.append(stay.decode(errors="ignore") if as_text else stay)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.string() if as_text else pa.binary()), *[batch.column(i) for i in range(3, batch.num_columns)]], ["name", "n_bytes", "spans", "kept", *[f"keep_{i}" for i in range(len(keep))]])
 
     extra = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = joined.mapInArrow(cut, f"name {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary{extra}")
+    out = joined.mapInArrow(cut, f"name {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}{extra}")
     return out.select(F.col("name").alias(key), "n_bytes", "spans", "kept", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
