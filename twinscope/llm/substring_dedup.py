@@ -32,6 +32,8 @@ from twinscope.llm import shared
 NULL_KEY = (1 << 63) - 1
 #: Bytes of text that one bucket stands for: about two million words.
 BUCKET_BYTES = 12 << 20
+#: Bytes of text whose payloads are made together.
+STEP_BYTES = 4 << 20
 
 
 def rolling(hashes: np.ndarray, before: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,25 +120,21 @@ class Index:
 INDEX, PROBE, BACK = 0, 1, 2
 
 
-def exchange(payloads: DataFrame, buckets: int, width, rows_per_batch: int = 4096) -> DataFrame:
+def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
     """(key, places): the items of PROBE payloads whose hash the index has with a smaller
-    key, and those of BACK payloads whose hash a larger key has asked for."""
+    key, and those of BACK payloads whose hash a larger key has asked for.
 
-    def work(batches: Iterator) -> Iterator:
+    Hits go back packed, a row a payload, to where those of one chunk of documents meet;
+    there each document gets one row.
+    """
+
+    def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         index, bucket, settled = Index(width), None, False
-        keys: list[int] = []
-        places: list[bytes] = []
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.binary())], ["key", "places"])
-            keys.clear()
-            places.clear()
-            return out
-
         for batch in batches:
-            for b, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            chunks, found = [], []
+            for b, kind, chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if b != bucket:
                     index, bucket, settled = Index(width), b, False
                 key, count, h, place = unpack(payload.as_buffer(), width)
@@ -155,24 +153,49 @@ def exchange(payloads: DataFrame, buckets: int, width, rows_per_batch: int = 409
                 else:
                     hit[known] = index.most[at] > each[known]
                 if hit.any():
-                    row = np.repeat(np.arange(len(key)), count)[hit]
-                    which, cut = np.unique(row, return_index=True)
-                    keys += key[which].tolist()
-                    places += [x.astype("<u4").tobytes() for x in np.split(place[hit], cut[1:])]
-                    if len(keys) >= rows_per_batch:
-                        yield flush()
+                    row, n = np.unique(np.repeat(np.arange(len(key)), count)[hit], return_counts=True)
+                    chunks.append(chunk)
+                    found.append(struct.pack("<I", len(row)) + key[row].tobytes() + n.astype("<u4").tobytes() + place[hit].astype("<u4").tobytes())
+            if chunks:
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(found, pa.binary())], ["chunk", "found"])
+
+    def gather(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        chunk, keys, places = None, [], []
+
+        def rows():
+            key, place = np.concatenate(keys), np.concatenate(places)
+            order = np.lexsort((place, key))
+            key, place = key[order], place[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([x.tobytes() for x in np.split(place, first[1:])], pa.binary())], ["key", "places"])
+
+        for batch in batches:
+            for c, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if c != chunk:
+                    if keys:
+                        yield rows()
+                    chunk, keys, places = c, [], []
+                raw = found.as_buffer()
+                (n,) = struct.unpack_from("<I", raw)
+                keys.append(np.repeat(np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n)))
+                places.append(np.frombuffer(raw, "<u4", -1, 4 + 12 * n))
         if keys:
-            yield flush()
+            yield rows()
 
     dealt = payloads.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(work, "key long, places binary")
+    hits = dealt.mapInArrow(ask, "chunk long, found binary")
+    return hits.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "key long, places binary")
 
 
-def _batch(rows: list) -> object:
+def _batch(rows: list, keys: np.ndarray) -> object:
     import pyarrow as pa
 
     b, kind, payload = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "kind", "payload"])
+    # The chunk's number only brings hits together; its documents are in the payloads.
+    chunk = int(shared.mix(shared.mix(keys.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "kind", "chunk", "payload"])
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -196,7 +219,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     def blocks(batches: Iterator) -> Iterator:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, _, data, at in shared.text_steps(batch.column(1), 8 << 20):
+            for lo, _, data, at in shared.text_steps(batch.column(1), STEP_BYTES):
                 starts, ends, before = shared.word_spans(data, at)
                 h, row, place = rolling(shared.Spans(data).of(starts, ends), before, block, 1)
                 long = np.diff(before)[row] >= window
@@ -207,9 +230,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
                 for kind in (INDEX, BACK):
                     out += pack(h[grid], b[grid], row[grid], place[grid], own, buckets, kind, "<u4")
                 if out:
-                    yield _batch(out)
+                    yield _batch(out, own)
 
-    payload = "bucket int, kind int, payload binary"
+    payload = "bucket int, kind int, chunk long, payload binary"
     hits = exchange(rows.mapInArrow(blocks, payload), buckets, "<u4")
     hits = shared.stash(hits.groupBy("key").agg(F.collect_list("places").alias("places")), "block-hits")
     shared.free_shuffles(docs.sparkSession)
@@ -218,7 +241,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     def windows(batches: Iterator) -> Iterator:
         for batch in batches:
             keys, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for lo, _, data, at in shared.text_steps(batch.column(1), 8 << 20):
+            for lo, _, data, at in shared.text_steps(batch.column(1), STEP_BYTES):
                 starts, ends, before = shared.word_spans(data, at)
                 h, row, place = rolling(shared.Spans(data).of(starts, ends), before, window, 2)
                 near = np.zeros(int(before[-1]) + 1, np.int64)  # how far hits reach, as steps up and down
@@ -237,7 +260,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
                     once.sort()
                     out += pack(h[once], b[once], row[once], place[once], own, buckets, INDEX, "<u8")
                 if out:
-                    yield _batch(out)
+                    yield _batch(out, own)
 
     found = exchange(near.mapInArrow(windows, payload), buckets, "<u8")
     found = shared.stash(found, "repeated-windows")
