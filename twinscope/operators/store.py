@@ -21,14 +21,15 @@ from twinscope.operators import joins
 NAMES = tuple(schema.ATTRIBUTES)
 
 
-def delta(rows: DataFrame, values: Mapping[str, Column], img: Column | int | None = None, addr: str = "addr") -> DataFrame:
-    """A delta that sets ``values`` at the rows' addresses; other attributes stay."""
+def delta(rows: DataFrame, values: Mapping[str, Column], img: Column | int | None = None, addr: str = "addr", when: Mapping[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A delta that sets ``values`` at the rows' addresses, each where ``when`` says so;
+    other attributes stay. Columns in ``keep`` come along."""
     out = [F.col("img") if img is None else (img if isinstance(img, Column) else F.lit(img)).cast("int").alias("img"), F.col(addr).cast("long").alias("addr")]
     for name, kind in schema.ATTRIBUTES.items():
-        is_set = name in values
-        v = values[name].cast(kind) if is_set else F.lit(None).cast(kind)
-        out.append(F.struct(F.lit(is_set).alias("is_set"), v.alias("v")).alias(name))
-    return rows.select(*out)
+        is_set = (when or {}).get(name, F.lit(name in values))
+        v = values[name].cast(kind) if name in values else F.lit(None).cast(kind)
+        out.append(F.struct(is_set.alias("is_set"), v.alias("v")).alias(name))
+    return rows.select(*out, *keep)
 
 
 def merge(entities: DataFrame, changes: DataFrame) -> DataFrame:
