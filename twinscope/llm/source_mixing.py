@@ -66,7 +66,7 @@ def position_of(consumed: Column, target: Column, ramp_from: Column, ramp_to: Co
     return F.least(F.lit(1.0), F.coalesce(2 * need / F.when(root + a > 0, root + a), F.lit(0.0)))
 
 
-def assign(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: tuple[str, ...] = (), whole: bool = False, per_bucket: int = 4096, weights=WEIGHTS, ramps=RAMPS, max_repeats: float = 3.0) -> DataFrame:
+def assign(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: tuple[str, ...] = (), whole: bool = False, per_bucket: int = 256, weights=WEIGHTS, ramps=RAMPS, max_repeats: float = 3.0, with_hash: bool = False) -> DataFrame:
     """A row for each row of ``docs``: its key, size, its source's size and target, and
     ``copies``, an array of (position, words) with an entry for each time it is taken.
 
@@ -104,7 +104,7 @@ def assign(docs: DataFrame, text: str = "text", source: str = "source", key: str
     if whole:
         copies = F.transform(copies, lambda c: F.struct(c["position"].alias("position"), F.when(2 * c["words"] >= F.col("size"), F.col("size")).otherwise(0).cast("long").alias("words")))
     placed = placed.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
-    return placed.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return placed.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", *[F.col(f"_keep_{c}").alias(c) for c in keep], *(["_hash"] if with_hash else []))
 
 
 def in_training_order(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
@@ -112,7 +112,17 @@ def in_training_order(docs: DataFrame, text: str = "text", source: str = "source
 
     The columns are those of ``docs``; a document taken three times has three rows.
     """
-    rest = tuple(c for c in docs.columns if c not in (key, source))
-    taken = assign(docs, text, source, key, keep=rest, whole=True, **options)
-    each = taken.select(*docs.columns, F.explode("copies").alias("_copy"))
-    return each.orderBy(F.col("_copy")["position"], F.xxhash64(key, text), F.col(key)).select(*docs.columns)
+    # Places are found without the texts, which move only to join their places and to be sorted.
+    taken = assign(docs.select(key, text, source), text, source, key, whole=True, with_hash=True, **options)
+    taken = taken.where(F.size("copies") > 0).select(F.col(key).alias("_key"), "_hash", "copies")
+    taken = shared.stash(taken, "places")
+    rows = docs.withColumn("_of", F.xxhash64(F.col(key), F.col(text)))
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_hash"))
+    if not taken.groupBy("_key", "_hash").count().where("count > 1").isEmpty():
+        # Equal rows share their places, one each.
+        nth = F.row_number()
+        taken = taken.withColumn("_m", nth.over(Window.partitionBy("_key", "_hash").orderBy(F.col("copies")[0]["position"])))
+        rows = rows.withColumn("_n", nth.over(Window.partitionBy(key, "_of").orderBy("_of")))
+        on = on & (F.col("_n") == F.col("_m"))
+    each = rows.join(taken, on).select(*docs.columns, "_of", F.explode("copies").alias("_copy"))
+    return each.orderBy(F.col("_copy")["position"], "_of").select(*docs.columns)
