@@ -151,6 +151,7 @@ def sample(docs: DataFrame, by: str, key: str, most: int, classes: int, min_docs
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500, languages: int = 64, min_docs: int = 3, dims: int = 4096, max_docs: int = 6000) -> LanguageModel | None:
     """Learn from about ``docs_per_language`` texts of each language, ``max_docs`` in
     all; the sample's profiles (dims x 4 bytes each) are what the driver gets."""
+    shared.text_batches(docs.sparkSession)
     named = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
     seen = named.select("_lang").distinct().limit(languages).count()
     per = min(docs_per_language, max_docs // max(1, min(languages, seen)))

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from twinscope.llm import shared
 
-#: Words whose ids a worker remembers (about 40 bytes each); it starts over when there are more.
-CACHED_WORDS = 1_000_000
+#: Words whose ids a worker remembers (about 200 bytes each); it starts over when there are more.
+CACHED_WORDS = 800_000
 #: Bytes of text that are encoded in one step.
 STEP_BYTES = 4 << 20
 _PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
@@ -52,7 +52,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._parts: dict[str, list[int]] = {}
+        self._parts: dict[str, tuple[int, ...]] = {}
         self._h, self._entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._start, self._size, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
@@ -63,7 +63,7 @@ class WordEncoder:
         for part in _PIECES.findall(word.lower()):
             ids = self._parts.get(part)
             if ids is None:
-                ids = self._parts[part] = [x.id for x in self._model.tokenize(part)]
+                ids = self._parts[part] = tuple(x.id for x in self._model.tokenize(part))
             out += ids
         return out
 
@@ -178,6 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     """
     import pyarrow as pa
 
+    shared.text_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(key), F.col(text).alias("_text"))

@@ -9,6 +9,7 @@ another one is lost.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
@@ -16,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,17 @@ GAP = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate().
 GAP_CHARS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes of text that one numpy step works on; longer documents go alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+
+# Workers import this module: give freed batches back to the system, as a worker lives on
+# beside an executor's other memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -90,6 +102,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Have Spark send rows with texts to Python in smaller Arrow batches than numbers
+    need: both sides hold a batch whole, so its size is memory in every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,8 +123,6 @@ def text_steps(column, step: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[
     """Pieces of an Arrow string or binary column: (first row, end row, bytes, row
     offsets into them). Null rows are empty. A piece holds whole rows, ``rows`` at most,
     and more than ``step`` bytes only if it is one row."""
-    import pyarrow as pa
-
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         width = np.int32
     else:
@@ -121,24 +139,48 @@ def text_steps(column, step: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[
         hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give memory that numpy has freed back to the system, where the C library can."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base of the rolling hash and of its inverse modulo 2^64."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, _UNBASE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Powers:
+    """Powers of a number modulo 2^64, from two small tables."""
+
+    STEP = 4096
+
+    def __init__(self, base: int):
+        self._base = pow(base, self.STEP, 1 << 64)
+        self._low, self._high = _powers(base, self.STEP), _powers(self._base, 256)
+
+    def _grow(self, n: int) -> None:
+        if n // self.STEP >= len(self._high):
+            self._high = _powers(self._base, 2 * (n // self.STEP + 1))
+
+    def first(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return np.multiply.outer(self._high[: n // self.STEP + 1], self._low).ravel()[:n]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        if len(i):
+            self._grow(int(i.max()))
+        return self._high[i // self.STEP] * self._low[i % self.STEP]
+
+
+_up, _down = _Powers(_BASE), _Powers(pow(_BASE, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -168,13 +210,13 @@ class Spans:
     polynomial modulo 2^64. Equal spans have equal hashes wherever they lie."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _tables(len(data) + 1)
         self._sum = np.zeros(len(data) + 1, np.uint64)
-        spread = mix(np.arange(1, 257, dtype=np.uint64))
-        np.cumsum(spread[data] * up[: len(data)], out=self._sum[1:])
+        terms = mix(np.arange(1, 257, dtype=np.uint64))[data]
+        terms *= _up.first(len(data))
+        np.cumsum(terms, out=self._sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
+        return mix((self._sum[end] - self._sum[start]) * _down.at(start) + (end - start).astype(np.uint64))
 
 
 _IS_GAP = np.zeros(256, bool)

@@ -90,6 +90,7 @@ def fingerprint(data: np.ndarray, rows: np.ndarray, words: int, width: int = 1)
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, width: int = 1) -> DataFrame:
     """(key, fp, f): the fingerprint of each row's whole text as ``width`` signed longs,
     f, and a long that stands for it, fp (the fingerprint itself if it is one)."""
+    shared.text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 

@@ -33,7 +33,7 @@ NULL_KEY = (1 << 63) - 1
 #: Bytes of text that one bucket stands for: about two million words.
 BUCKET_BYTES = 12 << 20
 #: Bytes of text whose payloads are made together.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def rolling(hashes: np.ndarray, before: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,6 +271,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 13, block: int | None = None) -> DataFrame:
     """(key, n_words, spans, kept) for every row: its words, the maximal runs of removed
     words as (start, end), and the words that stay, joined by one space."""
+    shared.text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_name"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
     found = repeated_windows(docs, text, key, window, block).groupBy("key").agg(F.collect_list("places").alias("places"))
     joined = rows.join(found, rows["_key"] == found["key"], "left").select("_name", "_text", "places")

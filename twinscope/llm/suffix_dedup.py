@@ -241,6 +241,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     incomplete."""
     if gram >= length:
         raise ValueError("gram must be shorter than length")
+    shared.text_batches(docs.sparkSession)
     rows, repeats = spans_of_repeats(docs, text, key, length, gram, crowd)
     kind = rows.schema["name"].dataType.simpleString()
     shared.free_shuffles(docs.sparkSession)

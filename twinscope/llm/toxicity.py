@@ -140,6 +140,7 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 30_000, kept_features: int = 1024, min_docs: int = 4) -> ToxicityModel:
     """Learn from at most ``max_positive`` confirmed toxic texts and about
     ``max_unlabelled`` texts in all, chosen by a hash of the key."""
+    shared.text_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_toxic"))
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     marked = keyed.select("_key").join(known, "_key", "left")

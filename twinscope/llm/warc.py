@@ -152,6 +152,7 @@ def reachable(at: np.ndarray, succ: np.ndarray) -> np.ndarray:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files in the folder ``path``: file, id, record_type,
     refers_to (ids as written), digest, payload (null for revisits) and payload_bytes."""
+    shared.text_batches(spark)
     text = spark.read.option("lineSep", END).text(path)
     lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
