@@ -7,8 +7,8 @@ whose negative part is kept from falling below zero by stepping back when it doe
 (Kiryo et al., 2017). The prior is the share of toxic texts among labelled ones.
 
 Features are words and their first 3 to 6 and last 4 bytes, lower case, as hashes.
-Those whose document frequency differs most between positives and unlabelled texts are
-kept (a fixed number), so the model is a small table that every worker holds; all
+Those whose document frequency differs most between positives and unlabelled texts, and
+by more than chance would have it, are kept (a fixed number), so the model is a small table that every worker holds; all
 texts are scored whole, in Arrow batches.
 
 Edge cases: a null or empty text has no feature and gets the score of the bias; without
@@ -137,7 +137,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 30_000, kept_features: int = 1024, min_docs: int = 4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = 20_000, max_unlabelled: int = 30_000, kept_features: int = 1024, min_docs: int = 4, min_z: float = 4.0) -> ToxicityModel:
     """Learn from at most ``max_positive`` confirmed toxic texts and about
     ``max_unlabelled`` texts in all, chosen by a hash of the key."""
     shared.text_batches(docs.sparkSession)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = chosen.mapInArrow(differences, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     share = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 2)
     z = F.abs(F.col("p") / float(n_p) - F.col("u") / float(n_u)) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    best = counts.where(F.col("p") + F.col("u") >= min_docs).orderBy(F.desc(z), "h").limit(kept_features).select("h").collect()
+    best = counts.where((F.col("p") + F.col("u") >= min_docs) & (z >= min_z)).orderBy(F.desc(z), "h").limit(kept_features).select("h").collect()
     blank = ToxicityModel(np.sort(np.array([r.h for r in best], np.int64)), np.zeros(len(best) + 1), prior)
 
     def vectors(batches: Iterator) -> Iterator:
