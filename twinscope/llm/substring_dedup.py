@@ -53,8 +53,8 @@ def rolling(hashes: np.ndarray, before: np.ndarray, width: int, seed: int) -> tu
 
 
 def pack(h: np.ndarray, bucket: np.ndarray, row: np.ndarray, place: np.ndarray, keys: np.ndarray, buckets: int, kind: int, width) -> Iterator[tuple[int, int, bytes]]:
-    """A payload for each bucket: the rows' keys, how many items each row has, hashes,
-    and places (as steps of 16 bits where they fit)."""
+    """A payload for each bucket: the rows' keys (key and hash of the text), how many items
+    each row has, hashes, and places (as steps of 16 bits where they fit)."""
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     h, row, place = h[order].astype(width), row[order], place[order]
@@ -72,8 +72,8 @@ def unpack(payload: bytes, width) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """(keys, items of each, hashes, places) of a payload."""
     n_rows, n, short = struct.unpack_from("<IIB", payload)
     at = struct.calcsize("<IIB")
-    keys = np.frombuffer(payload, "<i8", n_rows, at)
-    at += 8 * n_rows
+    keys = np.frombuffer(payload, "<i8", 2 * n_rows, at).reshape(-1, 2)
+    at += 16 * n_rows
     count = np.frombuffer(payload, "<u4", n_rows, at).astype(np.int64)
     at += 4 * n_rows
     h = np.frombuffer(payload, width, n, at)
@@ -121,7 +121,7 @@ INDEX, PROBE, BACK = 0, 1, 2
 
 
 def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
-    """(key, places): the items of PROBE payloads whose hash the index has with a smaller
+    """(key, th, places): the items of PROBE payloads whose hash the index has with a smaller
     key, and those of BACK payloads whose hash a larger key has asked for.
 
     Hits go back packed, a row a payload, to where those of one chunk of documents meet;
@@ -138,7 +138,7 @@ def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
                 if b != bucket:
                     index, bucket, settled = Index(width), b, False
                 key, count, h, place = unpack(payload.as_buffer(), width)
-                each = np.repeat(key, count)
+                each = np.repeat(key[:, 0], count)
                 if kind == INDEX:
                     index.add(h, each)
                     continue
@@ -166,10 +166,10 @@ def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
 
         def rows():
             key, place = np.concatenate(keys), np.concatenate(places)
-            order = np.lexsort((place, key))
+            order = np.lexsort((place, key[:, 1], key[:, 0]))
             key, place = key[order], place[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([x.tobytes() for x in np.split(place, first[1:])], pa.binary())], ["key", "places"])
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            return pa.RecordBatch.from_arrays([pa.array(key[first, 0]), pa.array(key[first, 1]), pa.array([x.tobytes() for x in np.split(place, first[1:])], pa.binary())], ["key", "th", "places"])
 
         for batch in batches:
             for c, found in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -179,14 +179,15 @@ def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
                     chunk, keys, places = c, [], []
                 raw = found.as_buffer()
                 (n,) = struct.unpack_from("<I", raw)
-                keys.append(np.repeat(np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n)))
-                places.append(np.frombuffer(raw, "<u4", -1, 4 + 12 * n))
+                rows_ = np.frombuffer(raw, "<i8", 2 * n, 4).reshape(-1, 2)
+                keys.append(np.repeat(rows_, np.frombuffer(raw, "<u4", n, 4 + 16 * n), axis=0))
+                places.append(np.frombuffer(raw, "<u4", -1, 4 + 20 * n))
         if keys:
             yield rows()
 
     dealt = payloads.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", "kind")
     hits = dealt.mapInArrow(ask, "chunk long, found binary")
-    return hits.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "key long, places binary")
+    return hits.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(gather, "key long, th long, places binary")
 
 
 def _batch(rows: list, keys: np.ndarray) -> object:
@@ -194,7 +195,7 @@ def _batch(rows: list, keys: np.ndarray) -> object:
 
     b, kind, payload = zip(*rows)
     # The chunk's number only brings hits together; its documents are in the payloads.
-    chunk = int(shared.mix(shared.mix(keys.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])
+    chunk = int(shared.mix(shared.mix(keys.ravel().view(np.uint64)).sum(keepdims=True).ravel()).view(np.int64)[0])
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(kind, pa.int32()), pa.array([chunk] * len(b), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "kind", "chunk", "payload"])
 
 
@@ -207,19 +208,20 @@ def _positions(lists) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = 13, block: int | None = None) -> DataFrame:
-    """(key, places): starts of the windows, in words, whose words also start in a row
-    with a smaller key; several rows a document. A null key is NULL_KEY here."""
+    """(key, th, places): starts of the windows, in words, whose words also start in a row
+    with a smaller key; several rows a document. A null key is NULL_KEY here, and th, a
+    hash of the text, tells rows with one key apart."""
     block = block or (window + 1) // 2
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block of the grid")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = shared.parts_for(docs.sparkSession, size, BUCKET_BYTES)
 
     def blocks(batches: Iterator) -> Iterator:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, _, data, at in shared.text_steps(batch.column(1), STEP_BYTES):
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+            for lo, _, data, at in shared.text_steps(batch.column(2), STEP_BYTES):
                 starts, ends, before = shared.word_spans(data, at)
                 h, row, place = rolling(shared.Spans(data).of(starts, ends), before, block, 1)
                 long = np.diff(before)[row] >= window
@@ -234,14 +236,14 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
 
     payload = "bucket int, kind int, chunk long, payload binary"
     hits = exchange(rows.mapInArrow(blocks, payload), buckets, "<u4")
-    hits = shared.stash(hits.groupBy("key").agg(F.collect_list("places").alias("places")), "block-hits")
+    hits = shared.stash(hits.groupBy("key", "th").agg(F.collect_list("places").alias("places")), "block-hits")
     shared.free_shuffles(docs.sparkSession)
-    near = rows.join(hits, rows["_key"] == hits["key"]).select("_key", "_text", "places")
+    near = rows.join(hits, (rows["_key"] == hits["key"]) & (rows["_th"] == hits["th"])).select("_key", "_th", "_text", "places")
 
     def windows(batches: Iterator) -> Iterator:
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for lo, _, data, at in shared.text_steps(batch.column(1), STEP_BYTES):
+            keys, lists = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1), batch.column(3).to_pylist()
+            for lo, _, data, at in shared.text_steps(batch.column(2), STEP_BYTES):
                 starts, ends, before = shared.word_spans(data, at)
                 h, row, place = rolling(shared.Spans(data).of(starts, ends), before, window, 2)
                 near = np.zeros(int(before[-1]) + 1, np.int64)  # how far hits reach, as steps up and down
@@ -255,7 +257,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", w
                 own, b = keys[lo : lo + len(at) - 1], _bucket_of(h, buckets)
                 out = list(pack(h, b, row, place, own, buckets, PROBE, "<u8"))
                 if len(h):  # each hash once, with its least key
-                    order = np.lexsort((own[row], h))
+                    order = np.lexsort((own[row, 0], h))
                     once = order[np.append(True, h[order][1:] != h[order][:-1])]
                     once.sort()
                     out += pack(h[once], b[once], row[once], place[once], own, buckets, INDEX, "<u8")
@@ -272,9 +274,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     """(key, n_words, spans, kept) for every row: its words, the maximal runs of removed
     words as (start, end), and the words that stay, joined by one space."""
     shared.text_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("_name"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
-    found = repeated_windows(docs, text, key, window, block).groupBy("key").agg(F.collect_list("places").alias("places"))
-    joined = rows.join(found, rows["_key"] == found["key"], "left").select("_name", "_text", "places")
+    rows = docs.select(F.col(key).alias("_name"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    found = repeated_windows(docs, text, key, window, block).groupBy("key", "th").agg(F.collect_list("places").alias("places"))
+    joined = rows.join(found, (rows["_key"] == found["key"]) & (rows["_th"] == found["th"]), "left").select("_name", "_text", "places")
     kind = rows.schema["_name"].dataType.simpleString()
 
     def cut(batches: Iterator) -> Iterator:
