@@ -62,12 +62,15 @@ def scalars(records: DataFrame, depth: int = DEPTH) -> DataFrame:
         dot = F.when(F.col("name") == "", F.lit("")).otherwise(F.concat("name", F.lit(".")))
         member = rest.select("type_key", F.col("offset").alias("_o"), dot.alias("_d"), F.explode("members").alias("m")).select("type_key", (F.col("_o") + F.col("m.offset")).alias("offset"), F.concat("_d", "m.name").alias("name"), F.col("m.type").alias("of"))
         base = rest.select("type_key", "offset", "name", F.explode("supers").alias("s")).select("type_key", "offset", "name", F.col("s.type").alias("of"))
-        arrays = rest.where("leaf = 'LF_ARRAY'").select("type_key", "offset", "name", F.col("array_type").alias("of"), F.col("_size").alias("_total"))
+        arrays = rest.where("leaf = 'LF_ARRAY'").select("type_key", "offset", "name", F.col("array_type").alias("of"), F.col("_cw").alias("_total"))
         element = arrays.join(final.withColumnRenamed("key", "of"), "of", "left").withColumn("of", F.coalesce("final", "of")).drop("final").join(sizes.select("of", "_width"), "of", "left").join(pointers, "of", "left").join(widths.select("of", F.col("_cw")), "of", "left")
         element = element.withColumn("_step", F.coalesce("_width", "_pw", "_cw").cast("int")).where("_step > 0 and _total >= _step")
         element = element.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_total") / F.col("_step")).cast("int") - 1)))
         element = element.select("type_key", (F.col("offset") + F.col("_k") * F.col("_step")).alias("offset"), F.concat("name", F.lit("["), F.col("_k").cast("string"), F.lit("]")).alias("name"), "of")
-        parts = member.unionByName(base).unionByName(element)
+        # Types nest a few levels deep: each level is written once and read by the next.
+        parts = member.unionByName(base).unionByName(element).checkpoint()
+        if parts.isEmpty():
+            break
     return last_at_offset(done)
 
 

@@ -11,13 +11,14 @@ from twinscope.functions import entity
 DEPTH = 10
 
 
-def thunk_names(merged: DataFrame, depth: int = DEPTH) -> DataFrame:
+def thunk_names(merged: DataFrame, depth: int = DEPTH, eager: bool = False) -> DataFrame:
     """(img, addr, name) for entities that stand for others: the name of the function or
     import at the end of their references, at most ``depth`` steps away, in a form that
     says what they are.
 
     Each step is a join on the reference, so nothing depends on the length of the
-    longest chain but the number of steps.
+    longest chain but the number of steps. With ``eager`` each step is checkpointed, and
+    the walk ends when nothing is left to follow: most references are one step long.
     """
     kinds = merged.where(F.col("type").isin(schema.THUNK, schema.VTORDISP, schema.IMPORT_THUNK))
     per_image = []
@@ -27,6 +28,10 @@ def thunk_names(merged: DataFrame, depth: int = DEPTH) -> DataFrame:
         at = children.join(roots, "ref", "left")
         up = children.select(F.col("addr").alias("ref"), F.col("ref").alias("next"))
         for _ in range(depth - 1):
+            if eager:
+                at = at.checkpoint()
+                if at.where("root is null and ref is not null").isEmpty():
+                    break
             at = at.join(up, "ref", "left").withColumn("ref", F.when(F.col("root").isNull(), F.col("next")).otherwise(F.col("ref"))).drop("next")
             at = at.join(roots.withColumnRenamed("root", "found"), "ref", "left").withColumn("root", F.coalesce("root", "found")).drop("found")
         d = lambda k: F.coalesce(F.col(f"displacement.{k}"), F.lit(0)).cast("string")

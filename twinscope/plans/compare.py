@@ -34,10 +34,11 @@ def sizes(img: int) -> Stage:
 
 def names(state: State) -> State:
     """Tell overloaded functions apart, and name what stands for others after them."""
-    own = windows.unique_names(windows.overloaded(state.merged()))
+    own = windows.unique_names(windows.overloaded(state.merged())).checkpoint()
     at = own.select(F.when(F.col("orig_addr").isNotNull(), schema.ORIG).otherwise(schema.RECOMP).alias("img"), F.coalesce("orig_addr", "recomp_addr").alias("addr"), "computed_name")
-    state = state.upsert(store.delta(at, {"computed_name": F.col("computed_name")}))
-    return state.upsert(store.delta(naming.thunk_names(state.merged()), {"name": F.col("name")}))
+    state = state.upsert(store.delta(at, {"computed_name": F.col("computed_name")})).cut()
+    found = naming.thunk_names(state.merged().checkpoint(), eager=True).checkpoint()
+    return state.upsert(store.delta(found, {"name": F.col("name")}))
 
 
 def default_stages(debug_lines: DataFrame | None = None, truncate: bool = False) -> list[Stage]:
