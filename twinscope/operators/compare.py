@@ -50,11 +50,11 @@ def pointers_equal(pairs: DataFrame, state: State, orig: str = "orig_value", rec
     """``pairs`` with whether both pointers mean the same: both null, a match, or the
     same distance into the two sides of a match."""
     match_of = lambda img, out: state.matches.select(F.lit(img).alias("img"), F.col("orig_addr" if img == schema.ORIG else "recomp_addr").alias("addr"), F.col("orig_addr").alias(out))
-    rows = pairs.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in pairs.columns else pairs
+    rows = pairs
     for img, column, out in ((schema.ORIG, orig, "o"), (schema.RECOMP, recomp, "r")):
-        probes = rows.select("_id", F.lit(img).alias("img"), F.col(column).alias("addr"))
+        probes = pairs.select(F.lit(img).alias("img"), F.col(column).alias("addr")).distinct()
         held = joins.asof_backward(probes, state.side(img).join(match_of(img, "_m").drop("img"), "addr", "left").select("img", "addr", "_m"), "addr", ("img",), ("_m",))
-        rows = rows.join(held.select("_id", F.col("_m").alias(f"_{out}"), (F.col("addr") - F.col("base")).alias(f"_{out}d")), "_id", "left")
+        rows = rows.join(held.select(F.col("addr").alias(column), F.col("_m").alias(f"_{out}"), (F.col("addr") - F.col("base")).alias(f"_{out}d")), column, "left")
     same = F.coalesce((F.col("_o") == F.col("_r")) & (F.col("_od") == F.col("_rd")), F.lit(False))
     return rows.withColumn("pointer_equal", ((F.col(orig) == 0) & (F.col(recomp) == 0)) | same).drop("_o", "_r", "_od", "_rd")
 

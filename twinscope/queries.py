@@ -522,7 +522,7 @@ def stack_pairs(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").where("l_linenumber <> 4")
     a = F.concat(F.lit("mov eax, dword ptr [ebp - "), codec.to_hex(F.col("l_partkey") % 64), F.lit("]"))
     b = F.concat(F.lit("mov eax, dword ptr ["), F.when(F.col("l_suppkey") % 64 % 2 == 0, "ebp").otherwise("esp"), F.lit(" + "), codec.to_hex(F.col("l_suppkey") % 64), F.lit("]"))
-    blocks = items.select(F.col("l_orderkey").alias("orig_addr"), F.monotonically_increasing_id().alias("block"), F.array(a, F.lit("ret")).alias("orig"), F.array(b, F.lit("ret")).alias("recomp"))
+    blocks = items.select(F.col("l_orderkey").alias("orig_addr"), F.xxhash64(*items.columns).alias("block"), F.array(a, F.lit("ret")).alias("orig"), F.array(b, F.lit("ret")).alias("recomp"))
     return compare.stack_pairs(blocks).select("orig_addr", F.col("orig.register").alias("orig_register"), F.col("orig.offset").alias("orig_offset"), F.col("recomp.register").alias("recomp_register"), F.col("recomp.offset").alias("recomp_offset"))
 
 
