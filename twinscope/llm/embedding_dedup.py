@@ -199,6 +199,7 @@ def cluster(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id",
             links, p, q = block_links(x, None, n_, None, threshold)
         else:
             links, p, q = block_links(x[:cut], x[cut:], n_[:cut], n_[cut:], threshold)
+        shared.trim()
         has = np.flatnonzero(links)
         none = pa.nulls(len(has), pa.int64())
         return pa.table({"node": pa.array(np.concatenate([node[has], node[p]])), "links": pa.concat_arrays([pa.array(links[has]), pa.nulls(len(p), pa.int64())]), "to": pa.concat_arrays([none, pa.array(node[q], pa.int64())])})

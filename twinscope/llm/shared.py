@@ -26,7 +26,7 @@ GAP = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate().
 GAP_CHARS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes of text that one numpy step works on; longer documents go alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 256 << 10
 
 # Workers import this module: give freed batches back to the system, as a worker lives on
 # beside an executor's other memory.
@@ -114,6 +114,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def if_small(df: DataFrame, row_bytes: int = 64, rows: int | None = None, most: int = 24 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows (counted, unless given) come to ``most``
+    bytes at most; else as it is, to be joined by a shuffle."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n * row_bytes <= most else df
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions for ``rows`` rows: as many as the session shuffles into, or more."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

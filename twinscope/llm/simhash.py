@@ -74,11 +74,11 @@ def fingerprint(data: np.ndarray, rows: np.ndarray, words: int, width: int = 1)
     h = np.fromiter((xxh64_intdigest(text[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
     has, first = np.unique(row, return_index=True)
     n = np.diff(np.append(first, len(row)))
-    step = 1 << 18
+    step = 1 << 16
     for w in range(width):
         own = h if w == 0 else shared.mix(h + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64)))
         bits = np.zeros((len(has), 64), np.int64)
-        for lo in range(0, len(h), step):  # 16 MB of bits at a time
+        for lo in range(0, len(h), step):  # 4 MB of bits at a time
             part = np.unpackbits(own[lo : lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             of = np.searchsorted(first, np.arange(lo, min(lo + step, len(h))), side="right") - 1
             which, cut = np.unique(of, return_index=True)
@@ -157,7 +157,7 @@ class Forest:
         return np.concatenate(found_q or [query]), np.concatenate(found_n or [query])
 
 
-def shard_links(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, is_query: np.ndarray, radius: int, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(group: np.ndarray, fp: np.ndarray, is_tree: np.ndarray, is_query: np.ndarray, radius: int, pairs: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) of a spanning forest within each group; ``pairs`` bounds the
     words of fingerprints that are compared at once."""
     tree, query = np.flatnonzero(is_tree), np.flatnonzero(is_query)
@@ -184,7 +184,7 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(each[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def sampled_masks(width: int, radius: int, n: int, miss: float = 0.02, seed: int = 17) -> list[list[int]]:
+def sampled_masks(width: int, radius: int, n: int, miss: float = 0.05, seed: int = 17) -> list[list[int]]:
     """Masks of a fingerprint of ``width`` words that each pick some bits at random. Two
     fingerprints ``radius`` bits apart disagree under all of them with the probability
     ``miss``, closer ones more rarely."""
@@ -234,7 +234,9 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
         def links_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             g, fp, f, tree, query = [np.concatenate(x) for x in zip(*parts)]
             a, b = shard_links(g, f, tree, query, radius)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+            shared.trim()
+            return out
 
         for batch in batches:
             if not batch.num_rows:
@@ -278,9 +280,11 @@ def radius_for(similarity: float, width: int) -> int:
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 4, width: int = 1) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest key.
     Rows with a null key stay only where no row of their group has a key."""
-    grouped = cluster(docs.select(key, text), text, key, words, radius, width=width)
+    grouped = shared.stash(cluster(docs.select(key, text), text, key, words, radius, width=width), "near-duplicates")
     kept = shared.stash(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp").distinct(), "kept-keys")
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    named = docs.where(F.col(key).isNotNull()).join(shared.if_small(kept), F.col(key) == F.col("_kept"), "left_semi")
+    if not grouped.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        named = named.dropDuplicates([key])  # rows that share a key are one
     if kept.where("_kept is null").isEmpty():
         return named
     lone = docs.where(F.col(key).isNull())

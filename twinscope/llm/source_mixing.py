@@ -124,5 +124,5 @@ def in_training_order(docs: DataFrame, text: str = "text", source: str = "source
         taken = taken.withColumn("_m", nth.over(Window.partitionBy("_key", "_hash").orderBy(F.col("copies")[0]["position"])))
         rows = rows.withColumn("_n", nth.over(Window.partitionBy(key, "_of").orderBy("_of")))
         on = on & (F.col("_n") == F.col("_m"))
-    each = rows.join(taken, on).select(*docs.columns, "_of", F.explode("copies").alias("_copy"))
+    each = rows.join(shared.if_small(taken, 128), on).select(*docs.columns, "_of", F.explode("copies").alias("_copy"))
     return each.orderBy(F.col("_copy")["position"], "_of").select(*docs.columns)

@@ -156,6 +156,7 @@ def exchange(payloads: DataFrame, buckets: int, width) -> DataFrame:
                     row, n = np.unique(np.repeat(np.arange(len(key)), count)[hit], return_counts=True)
                     chunks.append(chunk)
                     found.append(struct.pack("<I", len(row)) + key[row].tobytes() + n.astype("<u4").tobytes() + place[hit].astype("<u4").tobytes())
+            shared.trim()
             if chunks:
                 yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(found, pa.binary())], ["chunk", "found"])
 

@@ -164,6 +164,7 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
     # One region of each kind, where there are more kinds: fetched as text by the row that has it.
     wanted = kinds.where("kinds > 1").select("one.*", "g", (F.col("kinds") > crowd).alias("crowded"), (F.col("n") > 1).alias("known"))
     by_row = wanted.groupBy("name", "th").agg(F.collect_list(F.struct("lo", "hi", "g", "crowded", "known")).alias("want"))
+    by_row = shared.if_small(by_row, rows=wanted.count())
     a, b = rows.alias("a"), by_row.alias("b")
     same = F.col("a.name").eqNullSafe(F.col("b.name")) & (F.col("a.th") == F.col("b.th"))
     # Rows repeated with the same name and text are one here: any of them has the region.
@@ -199,6 +200,7 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
             which, w = repeated(list(text), np.array(windows, np.int64), np.array(g, np.int64), length)
             edge = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (w[1:] != w[:-1] + 1))) if len(which) else which
             last = np.append(edge[1:], len(which)) - 1 if len(which) else which
+            shared.trim()
             return table([(name[which[a]], th[which[a]], lo[which[a]] + int(w[a]), lo[which[a]] + int(w[b]), None, None, None) for a, b in zip(edge.tolist(), last.tolist())])
 
         def table(rows: list):
@@ -234,7 +236,7 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
     return rows, repeats
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 2048, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 4096, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(key, n_bytes, spans, kept, and the columns named in ``keep``) for every row: the
     UTF-8 bytes of its text, the maximal runs of removed bytes as (start, end), and the
     bytes that stay; with ``as_text`` as a string, without characters that a cut left
@@ -249,6 +251,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     by_row = shared.stash(by_row, "repeats-by-row")
     shared.free_shuffles(docs.sparkSession)
     rows = docs.select(F.col(key).alias("name"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    runs = by_row.agg(F.sum(F.size("runs")), F.count("*")).first()
+    by_row = shared.if_small(by_row, rows=(runs[0] or 0) + runs[1])
     a, b = rows.alias("a"), by_row.alias("b")
     joined = a.join(b, F.col("a.name").eqNullSafe(F.col("b.name")) & (F.col("a.th") == F.col("b.th")), "left").select("a.name", "a.raw", "b.runs", *[f"a.keep_{i}" for i in range(len(keep))])
 
