@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 400-byte strings that occur more than once."""
-    cut = suffix_dedup.dedup(docs.select(*COLUMNS), keep=("lang", "source"), as_text=True)
+    cut = suffix_dedup.dedup(docs.select(*COLUMNS), keep=("lang", "source"), as_text=True, small=24 << 20)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

@@ -137,7 +137,7 @@ def repeated(texts: list[bytes], windows: np.ndarray, group: np.ndarray, length:
     return own[hit], w[hit]
 
 
-def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: int, crowd: int, small: int) -> tuple[DataFrame, DataFrame]:
     """(rows, repeats): the rows as (name, th, raw) and (name, th, lo, hi) ranges of
     repeated windows, where name and a hash of the text, th, tell rows apart."""
     spark = docs.sparkSession
@@ -164,7 +164,7 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
     # One region of each kind, where there are more kinds: fetched as text by the row that has it.
     wanted = kinds.where("kinds > 1").select("one.*", "g", (F.col("kinds") > crowd).alias("crowded"), (F.col("n") > 1).alias("known"))
     by_row = wanted.groupBy("name", "th").agg(F.collect_list(F.struct("lo", "hi", "g", "crowded", "known")).alias("want"))
-    by_row = shared.if_small(by_row, rows=wanted.count())
+    by_row = shared.if_small(by_row, rows=wanted.count(), most=small) if small else by_row
     a, b = rows.alias("a"), by_row.alias("b")
     same = F.col("a.name").eqNullSafe(F.col("b.name")) & (F.col("a.th") == F.col("b.th"))
     # Rows repeated with the same name and text are one here: any of them has the region.
@@ -236,23 +236,25 @@ def spans_of_repeats(docs: DataFrame, text: str, key: str, length: int, gram: in
     return rows, repeats
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 4096, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, gram: int = 64, crowd: int = 4096, keep: tuple[str, ...] = (), as_text: bool = False, small: int = 0) -> DataFrame:
     """(key, n_bytes, spans, kept, and the columns named in ``keep``) for every row: the
     UTF-8 bytes of its text, the maximal runs of removed bytes as (start, end), and the
     bytes that stay; with ``as_text`` as a string, without characters that a cut left
-    incomplete."""
+    incomplete. Where few rows repeat anything, ``small`` says up to how many bytes the
+    lists of regions and of repeats are broadcast rather than texts shuffled."""
     if gram >= length:
         raise ValueError("gram must be shorter than length")
     shared.text_batches(docs.sparkSession)
-    rows, repeats = spans_of_repeats(docs, text, key, length, gram, crowd)
+    rows, repeats = spans_of_repeats(docs, text, key, length, gram, crowd, small)
     kind = rows.schema["name"].dataType.simpleString()
     shared.free_shuffles(docs.sparkSession)
     by_row = repeats.groupBy("name", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     by_row = shared.stash(by_row, "repeats-by-row")
     shared.free_shuffles(docs.sparkSession)
     rows = docs.select(F.col(key).alias("name"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    runs = by_row.agg(F.sum(F.size("runs")), F.count("*")).first()
-    by_row = shared.if_small(by_row, rows=(runs[0] or 0) + runs[1])
+    if small:
+        runs = by_row.agg(F.sum(F.size("runs")), F.count("*")).first()
+        by_row = shared.if_small(by_row, rows=(runs[0] or 0) + runs[1], most=small)
     a, b = rows.alias("a"), by_row.alias("b")
     joined = a.join(b, F.col("a.name").eqNullSafe(F.col("b.name")) & (F.col("a.th") == F.col("b.th")), "left").select("a.name", "a.raw", "b.runs", *[f"a.keep_{i}" for i in range(len(keep))])
 
