@@ -127,6 +127,19 @@ def test_block_masks():
             assert any(d & m == 0 for m in masks)
 
 
+@pytest.mark.parametrize("shard_rows", [2048, 100])
+def test_wide_links_lose_no_pair_at_the_radius(spark, shard_rows):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        bits = rng.integers(0, 2, 512, dtype=np.uint8)
+        near = bits.copy()
+        near[rng.choice(512, 78, replace=False)] ^= 1
+        rows += [(2 * i + k, np.packbits(b, bitorder="little").view("<i8").tolist()) for k, b in enumerate((bits, near))]
+    got = simhash.links(spark.createDataFrame(rows, "fp long, f array<long>"), radius=78, shard_rows=shard_rows, width=8).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in got} == {(2 * i, 2 * i + 1) for i in range(200)}
+
+
 def test_keep_one(spark):
     words = [f"w{i}" for i in range(300)]
     near = words[:150] + ["changed"] + words[151:]

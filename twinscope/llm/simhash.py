@@ -15,9 +15,8 @@ walked together, level by level, in numpy.
 
 A fingerprint of one word says little about texts that are less than nearly equal.
 Longer ones (``width`` words) estimate the similarity of two texts' shingles well enough
-to link by it: radius_for() gives the radius. There, shards are the values of bits
-picked at random, enough of them that a pair at the radius is missed with a stated, small
-probability.
+to link by it: radius_for() gives the radius. No blocks of theirs need agree within such
+a radius, so all are one shard, which is dealt over blocks: exact, but quadratic.
 
 Documents with equal fingerprints are one node, so copies are never expanded; a task
 emits the links of a spanning forest, at most one a node.
@@ -184,27 +183,25 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(each[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def sampled_masks(width: int, radius: int, n: int, miss: float = 0.05, seed: int = 17) -> list[list[int]]:
-    """Masks of a fingerprint of ``width`` words that each pick some bits at random. Two
-    fingerprints ``radius`` bits apart disagree under all of them with the probability
-    ``miss``, closer ones more rarely."""
-    rng = np.random.default_rng(seed)
-    bits = 64 * width
-    take = max(8, (n // 32).bit_length())
-    agree = float(np.prod([(bits - radius - i) / (bits - i) for i in range(take)]))
-    out = []
-    for _ in range(int(np.ceil(np.log(miss) / np.log(1 - agree)))):
-        mask = [0] * width
-        for b in rng.choice(bits, take, replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        out.append(mask)
-    return out
+def dealt(placed: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows (fp, f, shard) with the group g in which they meet others of their shard,
+    once with each row at least; crowded shards are dealt over blocks, which meet
+    pairwise, as trees, queries or both."""
+    crowded = placed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+    placed = placed.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    # A row is in the tree of its own block for all later blocks of queries, and queries the trees of all earlier ones.
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select(
+        F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "f", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query")
+    )
 
 
 def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int = 1) -> DataFrame:
     """Links (a, b) that connect the fingerprints of ``nodes`` (columns fp, distinct, and
-    f) which are at most ``radius`` bits apart, directly or through others: all of them
-    for fingerprints of one word, all but rare ones (see sampled_masks) for longer ones."""
+    f) which are at most ``radius`` bits apart, directly or through others. Fingerprints
+    of more than one word are compared all with all, which takes time in proportion to
+    the square of their number."""
     n = nodes.count()
     if width == 1:
         # Narrower shards for more fingerprints, so that an average shard stays small.
@@ -213,18 +210,11 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
             blocks += 1
         masks = [[m] for m in block_masks(blocks, radius)]
     else:
-        masks = sampled_masks(width, radius, n)
+        masks = [[0] * width]  # no bits need agree: one shard, dealt over blocks
     signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("f", F.lit(w)).bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for i, mask in enumerate(signed)])
     placed = nodes.select("fp", "f", F.explode(keys).alias("shard"))
-    crowded = placed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    placed = placed.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
-    # A row is in the tree of its own block for all later blocks of queries, and queries the trees of all earlier ones.
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    each = each.select(
-        F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "f", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query")
-    )
+    each = dealt(placed, shard_rows)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
