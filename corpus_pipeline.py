@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
 returns what the next one reads: the columns of documents, but for the last stage, which
 returns the pieces of the packed sequences. SQL cannot express the learned rules, the
-fingerprints or the tokens, so there is no SQL for the result; the tests hold the stages
+groups or the tokens, so there is no SQL for the result; the tests hold the stages
 against brute force.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import packing, quality_rules, shared, simhash, source_mixing, suffix_dedup
+from twinscope.llm import packing, quality_rules, shared, similar_sets, source_mixing, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -25,9 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links: shingles of five words, and
-    fingerprints of 512 bits that differ as those of texts with a similarity of 0.8."""
-    return simhash.keep_one(docs.select(*COLUMNS), words=5, radius=simhash.radius_for(0.8, 8), width=8)
+    """One document of each group that is linked by a Jaccard similarity of 0.8 or more
+    of the sets of shingles of five words."""
+    return similar_sets.keep_one(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

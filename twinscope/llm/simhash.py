@@ -29,7 +29,7 @@ repeated rows share a fingerprint; an empty table yields no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -253,11 +253,17 @@ def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     smallest key among the rows it is linked to, directly or through others."""
     printed = shared.stash(fingerprints(docs, text, key, words, width), "fingerprints")
     classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least"), F.min("f").alias("f")), "fingerprint-classes")
-    roots = graph.components(links(classes.select("fp", "f"), radius, shard_rows, width))
-    rooted = classes.drop("f").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return named(printed, classes, links(classes.select("fp", "f"), radius, shard_rows, width), key)
+
+
+def named(printed: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, fp, component_id) for the rows of ``printed``, by the links ``found`` between
+    the distinct fp of ``classes``, whose smallest key is ``least``."""
+    roots = graph.components(found)
+    rooted = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return printed.join(named, "fp").select(key, "fp", "component_id")
+    by_print = rooted.join(names, "root").select("fp", "component_id")
+    return printed.join(by_print, "fp").select(key, "fp", "component_id")
 
 
 def radius_for(similarity: float, width: int) -> int:
@@ -271,6 +277,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     """``docs`` with one row of each group of near-duplicates: that of the smallest key.
     Rows with a null key stay only where no row of their group has a key."""
     grouped = shared.stash(cluster(docs.select(key, text), text, key, words, radius, width=width), "near-duplicates")
+    return keep_of(docs, grouped, lambda lone: fingerprints(lone, text, "_th", words, width), text, key)
+
+
+def keep_of(docs: DataFrame, grouped: DataFrame, prints: Callable[[DataFrame], DataFrame], text: str, key: str) -> DataFrame:
+    """keep_one() for the groups of ``grouped`` (key, fp, component_id); ``prints`` gives
+    the fp of rows (_th, text)."""
     kept = shared.stash(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp").distinct(), "kept-keys")
     named = docs.where(F.col(key).isNotNull()).join(shared.if_small(kept), F.col(key) == F.col("_kept"), "left_semi")
     if not grouped.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
@@ -278,6 +290,6 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
     if kept.where("_kept is null").isEmpty():
         return named
     lone = docs.where(F.col(key).isNull())
-    prints = fingerprints(lone.select(F.xxhash64(text).alias("_th"), text), text, "_th", words, width).join(kept.where("_kept is null"), "fp").select("_th").distinct()
-    lone = lone.withColumn("_th", F.xxhash64(text)).join(prints, "_th", "left_semi").dropDuplicates(["_th"]).drop("_th")
+    alone = prints(lone.select(F.xxhash64(text).alias("_th"), text)).join(kept.where("_kept is null"), "fp").select("_th").distinct()
+    lone = lone.withColumn("_th", F.xxhash64(text)).join(alone, "_th", "left_semi").dropDuplicates(["_th"]).drop("_th")
     return named.unionByName(lone.select(*docs.columns))
