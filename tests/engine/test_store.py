@@ -48,6 +48,15 @@ def test_ambiguous_functions(spark):
     assert events(st) == [("AMBIGUOUS_MATCH", 1), ("AMBIGUOUS_MATCH", 2), ("NO_MATCH", 3)]
 
 
+def test_ambiguous_functions_list_all_that_are_left(spark):
+    rows = [(0, a, {"name": "f", "type": s.FUNCTION}) for a in (1, 2, 3)] + [(1, 100 + a, {"name": "f", "symbol": f"s{a}"}) for a in range(40)]
+    st = matchers.functions(state(spark, *rows))
+    told = {r.orig_addr: r.msg for r in st.events.collect()}
+    assert sorted(told) == [1, 2, 3]
+    for i, msg in enumerate(told[a] for a in (1, 2, 3)):
+        assert f"taken 's{i}', left [{', '.join(f's{a}' for a in range(i + 1, 40))}]" in msg
+
+
 def test_vtables(spark):
     t = lambda **k: {"type": s.VTABLE, **k}
     st = matchers.vtables(state(spark, (0, 1, t(name="X")), (0, 2, t(name="X", base_class="Y")), (0, 3, t(name="Z", base_class="Z")), (1, 5, t(name="X::`vftable'")), (1, 6, t(name="X::`vftable'{for `Y'}")), (1, 7, t(name="Z::`vftable'{for `Z'}"))))

@@ -71,16 +71,17 @@ def symbols(state: State, truncate: bool = False) -> State:
 
 def functions(state: State, truncate: bool = False) -> State:
     """Functions with equal names. A name that more than one recompiled function had is
-    reported each time it is used, with the symbols of those still left."""
+    reported each time it is used, with the symbols of all those still left; for n
+    functions of one name that makes messages of n * n / 2 symbols."""
     key = F.substring("name", 1, TRUNCATED) if truncate else F.col("name")
     named = has_text(F.col("name"))
     orig = state.unmatched(schema.ORIG).where((F.col("type") == schema.FUNCTION) & named).select("addr", key.alias("key"))
     recomp = state.unmatched(schema.RECOMP).where(_null_or(schema.FUNCTION) & named).select("addr", key.alias("key"), F.coalesce("symbol", F.lit("None")).alias("symbol"))
     found = by_key(orig, recomp)
-    # Candidates after a pair: a frame from the next row on, not a list for each row of the key.
-    later = Window.partitionBy("key").orderBy("addr").rowsBetween(1, 16)
-    symbols_ = recomp.select(F.col("addr").alias("recomp_addr"), "symbol", F.collect_list("symbol").over(later).alias("others"))
-    told = found.where((F.col("total") > 1) & F.col("recomp_addr").isNotNull()).join(symbols_, "recomp_addr")
+    # All candidates of a name in order, listed once; an event has those after its own.
+    listed = recomp.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("addr", "symbol"))), lambda x: x["symbol"]).alias("all"))
+    told = found.where((F.col("total") > 1) & F.col("recomp_addr").isNotNull()).join(listed, "key")
+    told = told.withColumn("symbol", F.get("all", F.col("nth") - 1)).withColumn("others", F.slice("all", F.col("nth") + 1, F.size("all")))
     text = F.concat(F.lit("Name "), "key", F.lit(" of "), _hex(), F.lit(" is ambiguous: taken '"), "symbol", F.lit("', left ["), F.array_join("others", ", "), F.lit("]"))
     lone = _events(found.where("recomp_addr is null"), NO_MATCH, F.concat(F.lit("No match at "), _hex(), F.lit(" for function "), "key"))
     return state.match(_pairs(found)).report(_events(told, AMBIGUOUS_MATCH, text)).report(lone)
