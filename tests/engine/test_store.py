@@ -145,6 +145,30 @@ def test_layout(spark):
     assert sorted(r.offset for r in pads.collect()) == [8, 9, 10, 11, 16, 17]
 
 
+LAYOUT = "key int, leaf string, modifies int, array_type int, size long, members array<struct<offset:int,type:int,name:string>>, supers array<struct<offset:int,type:int>>, field_list int, udt int, is_forward_ref boolean, underlying_type int, bit_type int, element_type int"
+
+
+def structure(key, members, size=64):
+    return [(key, "LF_FIELDLIST", None, None, None, members, [], None, None, False, None, None, None), (key + 1, "LF_STRUCTURE", None, None, size, None, None, key, None, False, None, None, None)]
+
+
+def test_layout_of_all_primitives_and_depths(spark):
+    kinds = {0x08: 4, 0x408: 4, 0x62: 4, 0x7A: 2, 0x7B: 4, 0x7C: 1, 0x174: 2, 0x274: 4, 0x374: 4, 0x574: 6, 0x43: 16, 0x74: 4}
+    recs = structure(0x1000, [(16 * i, k, f"m{i}") for i, k in enumerate(kinds)])
+    for n in range(1, 15):
+        recs += structure(0x1000 + 2 * n, [(0, 0x1000 + 2 * n - 1, "in")])
+    found = layout.scalars(spark.createDataFrame(recs, LAYOUT)).where("type_key in (4097, 4125)").collect()
+    for key, prefix in ((0x1001, ""), (0x101D, "in." * 14)):
+        assert sorted((r.offset, r.size, r.name) for r in found if r.type_key == key) == sorted((16 * i, size, f"{prefix}m{i}") for i, size in enumerate(kinds.values()))
+    assert layout.primitives(spark).select("key").distinct().count() == layout.primitives(spark).count() == 306
+
+
+@pytest.mark.parametrize("key", [0x7F, 0x2000, 0x1001])
+def test_layout_unknown_or_circular(spark, key):
+    with pytest.raises(ValueError):
+        layout.scalars(spark.createDataFrame(structure(0x1000, [(0, key, "m")]), LAYOUT))
+
+
 def test_variables(spark):
     st = state(spark, (0, 100, {"orig_size": 8}), (1, 500, {"recomp_size": 8})).match(spark.createDataFrame([(100, 500)], s.MATCHES))
     le = lambda *v: bytearray(b"".join(x.to_bytes(4, "little") for x in v))
