@@ -88,3 +88,10 @@ def test_keep_one_odd(spark):
     rows = [(9, "quite another text"), (9, "quite another text"), (None, "quite another text"), (None, "alone and without a key"), (7, None), (8, ""), (1, "x y z")]
     assert sorted(str(r.doc_id) for r in similar_sets.keep_one(frame(spark, rows)).collect()) == ["1", "7", "9", "None"]
     assert similar_sets.keep_one(frame(spark, [])).count() == 0
+
+
+def test_keep_one_of_each_group_of_a_repeated_key(spark):
+    a, b, c = (text(random.Random(i), 80) for i in range(3))
+    rows = [(9, a), (9, a + " more"), (9, b), (3, c), (9, c)]
+    got = sorted((r.doc_id, r.text.removesuffix(" more")) for r in similar_sets.keep_one(frame(spark, rows)).collect())
+    assert got == sorted([(9, a), (9, b), (3, c)])

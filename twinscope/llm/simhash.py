@@ -249,21 +249,22 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
 
 
 def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, radius: int = 4, shard_rows: int = 2048, width: int = 1) -> DataFrame:
-    """(key, fp, component_id) for every row: its fingerprint (see fingerprints) and the
-    smallest key among the rows it is linked to, directly or through others."""
+    """(key, fp, component_id, root) for every row: its fingerprint (see fingerprints) and
+    the smallest key among the rows it is linked to, directly or through others."""
     printed = shared.stash(fingerprints(docs, text, key, words, width), "fingerprints")
     classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least"), F.min("f").alias("f")), "fingerprint-classes")
     return named(printed, classes, links(classes.select("fp", "f"), radius, shard_rows, width), key)
 
 
 def named(printed: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(key, fp, component_id) for the rows of ``printed``, by the links ``found`` between
-    the distinct fp of ``classes``, whose smallest key is ``least``."""
+    """(key, fp, component_id, root) for the rows of ``printed``, by the links ``found``
+    between the distinct fp of ``classes``, whose smallest key is ``least``; the root is
+    one fp of a component, and tells components apart that a repeated key names."""
     roots = graph.components(found)
     rooted = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(names, "root").select("fp", "component_id")
-    return printed.join(by_print, "fp").select(key, "fp", "component_id")
+    by_print = rooted.join(names, "root").select("fp", "component_id", "root")
+    return printed.join(by_print, "fp").select(key, "fp", "component_id", "root")
 
 
 def radius_for(similarity: float, width: int) -> int:
@@ -275,18 +276,24 @@ def radius_for(similarity: float, width: int) -> int:
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 4, width: int = 1) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest key.
-    Rows with a null key stay only where no row of their group has a key."""
+    Rows with a null key stay only where no row of their group has a key. A key that
+    occurs more than once has a row for each group that it is the smallest key of."""
     grouped = shared.stash(cluster(docs.select(key, text), text, key, words, radius, width=width), "near-duplicates")
     return keep_of(docs, grouped, lambda lone: fingerprints(lone, text, "_th", words, width), text, key)
 
 
 def keep_of(docs: DataFrame, grouped: DataFrame, prints: Callable[[DataFrame], DataFrame], text: str, key: str) -> DataFrame:
-    """keep_one() for the groups of ``grouped`` (key, fp, component_id); ``prints`` gives
+    """keep_one() for the groups of ``grouped`` (key, fp, component_id, root); ``prints`` gives
     the fp of rows (_th, text)."""
-    kept = shared.stash(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp").distinct(), "kept-keys")
-    named = docs.where(F.col(key).isNotNull()).join(shared.if_small(kept), F.col(key) == F.col("_kept"), "left_semi")
-    if not grouped.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        named = named.dropDuplicates([key])  # rows that share a key are one
+    kept = shared.stash(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept"), "fp", "root").distinct(), "kept-keys")
+    named = docs.where(F.col(key).isNotNull()).join(shared.if_small(kept.select("_kept").distinct()), F.col(key) == F.col("_kept"), "left_semi")
+    twice = grouped.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_kept")).count().where("count > 1").select("_kept")
+    if not twice.isEmpty():  # rows of one key and group are one; rows of other groups are none of it
+        again = named.join(twice, F.col(key) == F.col("_kept"), "left_semi").withColumn("_th", F.xxhash64(text))
+        of = prints(again.select("_th", text)).select("_th", F.col("fp").alias("_fp")).distinct()
+        roots = kept.select("_kept", F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+        again = again.join(of, "_th").join(roots.withColumnRenamed("_kept", "_key_kept"), ["_fp"]).where(F.col(key) == F.col("_key_kept")).dropDuplicates([key, "_root"])
+        named = named.join(twice, F.col(key) == F.col("_kept"), "left_anti").unionByName(again.select(*docs.columns))
     if kept.where("_kept is null").isEmpty():
         return named
     lone = docs.where(F.col(key).isNull())

@@ -160,8 +160,8 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5,
 
 
 def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
-    """(key, fp, component_id) for every row: what stands for its set (see prints) and the
-    smallest key among the rows it is linked to, directly or through others."""
+    """(key, fp, component_id, root) for every row: what stands for its set (see prints)
+    and the smallest key among the rows it is linked to, directly or through others."""
     printed = shared.stash(prints(docs, text, key, words, similarity), "set-prints")
     classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("f").alias("f")), "set-classes")
     found = links(docs.select(key, text), classes.select("fp", "n", "f"), text, words, similarity, shard_rows)
@@ -170,6 +170,7 @@ def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest key.
-    Rows with a null key stay only where no row of their group has a key."""
+    Rows with a null key stay only where no row of their group has a key. A key that
+    occurs more than once has a row for each group that it is the smallest key of."""
     grouped = shared.stash(cluster(docs.select(key, text), text, key, words, similarity), "near-duplicates")
     return simhash.keep_of(docs, grouped, lambda lone: prints(lone, text, "_th", words, similarity), text, key)
