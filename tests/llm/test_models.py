@@ -123,3 +123,9 @@ def test_risk_stays_non_negative():
     fix = lambda xs: [(i, v[: len(i)]) for i, v in xs]
     w = toxicity.train_nnpu(fix(rows(50, 0.9)), fix(rows(500, 0.1)), 30, 0.1, epochs=20)
     assert np.isfinite(w).all()
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * (5 + i), f"l{k:02d}") for k in range(70) for i in range(4)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=256)
+    assert {x for m in model.within.values() for x in m.classes} == {f"l{k:02d}" for k in range(70)}

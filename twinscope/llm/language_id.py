@@ -137,25 +137,24 @@ class LanguageModel:
         return lang, sure
 
 
-def sample(docs: DataFrame, by: str, key: str, most: int, classes: int, min_docs: int = 1) -> DataFrame:
-    """At most ``most`` rows of each of the ``classes`` commonest values of ``by``: those
-    with the smallest hashes of ``key``, the same ones on every run."""
-    counts = docs.where(F.col(by).isNotNull()).groupBy(by).count().where(F.col("count") >= min_docs).orderBy(F.desc("count"), by).limit(classes).collect()
-    out = F.lit(False)
+def sample(docs: DataFrame, by: str, key: str, most: int, min_docs: int = 1) -> DataFrame:
+    """About ``most`` rows of each value of ``by`` that has ``min_docs``: those with the
+    smallest hashes of ``key``, the same ones on every run."""
+    counts = docs.where(F.col(by).isNotNull()).groupBy(by).count().where(F.col("count") >= min_docs)
     at = F.shiftrightunsigned(F.xxhash64(key), 1) / float(1 << 63)
-    for value, n in counts:
-        out = out | ((F.col(by) == value) & (at < min(1.0, most / n)))
-    return docs.where(out)
+    share = counts.select(F.col(by).alias("_by"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("_share"))
+    return docs.join(F.broadcast(share), F.col(by) == F.col("_by")).where((F.col("_share") >= 1) | (at < F.col("_share"))).drop("_by", "_share")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500, languages: int = 64, min_docs: int = 3, dims: int = 4096, max_docs: int = 6000) -> LanguageModel | None:
-    """Learn from about ``docs_per_language`` texts of each language, ``max_docs`` in
-    all; the sample's profiles (dims x 4 bytes each) are what the driver gets."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500, min_docs: int = 3, dims: int = 4096, max_docs: int = 6000) -> LanguageModel | None:
+    """Learn every language that has ``min_docs`` texts, from about ``docs_per_language``
+    of each and ``max_docs`` in all, but ``min_docs`` of each where there are very many;
+    the sample's profiles (dims x 4 bytes each) are what the driver gets."""
     shared.text_batches(docs.sparkSession)
     named = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    seen = named.select("_lang").distinct().limit(languages).count()
-    per = min(docs_per_language, max_docs // max(1, min(languages, seen)))
-    chosen = sample(named, "_lang", "_key", per, languages, min_docs).select("_key", "_lang", "_text")
+    seen = named.select("_lang").distinct().count()
+    per = min(docs_per_language, max(min_docs, max_docs // max(1, seen)))
+    chosen = sample(named, "_lang", "_key", per, min_docs).select("_key", "_lang", "_text")
     kind = chosen.schema["_key"].dataType.simpleString()
 
     def work(batches: Iterator) -> Iterator:
