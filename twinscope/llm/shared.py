@@ -102,9 +102,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+def text_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Have Spark send rows with texts to Python in smaller Arrow batches than numbers
     need: both sides hold a batch whole, so its size is memory in every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, rows)

@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscope.llm import graph, shared
@@ -183,11 +183,13 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(each[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def dealt(placed: DataFrame, shard_rows: int) -> DataFrame:
+def dealt(placed: DataFrame, shard_rows: int, share: Column | None = None) -> DataFrame:
     """Rows (fp, f, shard) with the group g in which they meet others of their shard,
     once with each row at least; crowded shards are dealt over blocks, which meet
-    pairwise, as trees, queries or both."""
-    crowded = placed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
+    pairwise, as trees, queries or both. A block holds ``shard_rows`` rows, or less, if
+    the rows' ``share`` says how much of a block they fill."""
+    blocks = F.count("*") / shard_rows if share is None else F.greatest(F.count("*") / shard_rows, F.sum(share))
+    crowded = placed.groupBy("shard").agg(F.ceil(blocks).cast("int").alias("parts")).where("parts > 1")
     placed = placed.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # A row is in the tree of its own block for all later blocks of queries, and queries the trees of all earlier ones.

@@ -6,7 +6,8 @@ partner. In the order of hashes, the first n - a + 1 of both sets then share one
 first n - a + k of both share k. So a set lives on only if enough of its first shingles
 occur in other sets that live on, which leaves few but near-duplicates. Those that share
 one of the first n - a + 1, directly or through others, meet in one task, which compares
-whole sets; a crowd of more than ``shard_rows`` is dealt over blocks that meet pairwise.
+whole sets; a crowd of more than ``shard_rows`` sets, or of more shingles than a block
+holds, is dealt over blocks that meet pairwise.
 
 Edge cases: shingles as in ``simhash``; texts without words have one set, the empty one,
 and link with nothing but each other, by being equal.
@@ -24,6 +25,10 @@ from twinscope.llm import graph, shared, simhash
 
 #: Keeps products of similarities and counts on the side that loses no pair.
 EPS = 1e-9
+#: Entries of lists of sets that are counted at once.
+LISTED = 1 << 18
+#: Shingles of all sets of a block.
+BLOCK_SHINGLES = 1 << 19
 
 
 def _need(n, similarity: float):
@@ -92,7 +97,12 @@ def group_links(off: np.ndarray, shingles: np.ndarray, similarity: float) -> np.
         done[i] = True
         own = kind[off[i] : off[i + 1]]
         many = at[own + 1] - at[own]
-        common = np.bincount(having[np.repeat(at[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=n)
+        common, total, lo = np.zeros(n, np.int64), np.cumsum(many), 0
+        while lo < len(own):  # entries of the lists of so many shingles at a time that they stay few
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + LISTED, side="right")))
+            part = many[lo:hi]
+            common += np.bincount(having[np.repeat(at[own[lo:hi]] - (np.cumsum(part) - part), part) + np.arange(part.sum())], minlength=n)
+            lo = hi
         hit = np.flatnonzero((common > 0) & (common >= similarity * (size[i] + size - common) - EPS))
         graph.unite(parent, np.full(len(hit), i), hit)
 
@@ -122,7 +132,7 @@ def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5,
     shards = shared.stash(roots.unionByName(roots.select(F.col("shard").alias("fp"), "shard").distinct()), "set-shards")
     total = shards.count()
     whole = prints(docs, text, docs.columns[0], words).select("fp", "f").join(shared.if_small(shards, rows=total), "fp").dropDuplicates(["fp"])
-    each = simhash.dealt(shared.stash(whole, "whole-sets"), shard_rows).select("g", "fp", "f")
+    each = simhash.dealt(shared.stash(whole, "whole-sets"), shard_rows, F.size("f") / BLOCK_SHINGLES).select("g", "fp", "f")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
