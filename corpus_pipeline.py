@@ -16,6 +16,8 @@ from twinscope.llm import packing, quality_rules, shared, similar_sets, source_m
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
+#: Bytes that 50 words of prose have at least, one in a hundred spans of them aside.
+PASSAGE = 240
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that occur more than once."""
-    cut = suffix_dedup.dedup(docs.select(*COLUMNS), keep=("lang", "source"), as_text=True, small=24 << 20)
+    """All documents, without the bytes of strings of PASSAGE bytes that occur more than once."""
+    cut = suffix_dedup.dedup(docs.select(*COLUMNS), length=PASSAGE, keep=("lang", "source"), as_text=True, small=24 << 20)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
