@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinscope.operators import lineage
+
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "nth") -> DataFrame:
     """``df`` with each row's number among the rows of equal keys."""
@@ -102,7 +104,8 @@ def first_pairs(pairs: DataFrame, left: str, right: str, order: str, rounds: int
     for _ in range(rounds):
         lo = F.min(order).over(Window.partitionBy(left))
         ro = F.min(order).over(Window.partitionBy(right))
-        marked = left_pairs.withColumn("_first", (F.col(order) == lo) & (F.col(order) == ro)).checkpoint() if kept is not None else left_pairs.withColumn("_first", (F.col(order) == lo) & (F.col(order) == ro))
+        marked = left_pairs.withColumn("_first", (F.col(order) == lo) & (F.col(order) == ro))
+        marked = marked if kept is None else lineage.cut(marked)
         won = marked.where("_first").drop("_first")
         kept = won if kept is None else kept.unionByName(won)
         left_pairs = marked.where("not _first").drop("_first").join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")

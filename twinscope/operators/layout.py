@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinscope.operators import lineage
+
 #: Primitive types below this key.
 FIRST_RECORD = 0x1000
 #: Modes of pointers to primitive types, with the size of the pointer.
@@ -45,7 +47,7 @@ def resolve(records: DataFrame, depth: int | None = None) -> DataFrame:
     at = records.select("key", F.col("key").alias("final"))
     most = records.count() if depth is None else depth
     for _ in range(most + 1):
-        moved = at.join(step, "final", "left").checkpoint()
+        moved = lineage.cut(at.join(step, "final", "left"))
         if moved.where("_next is not null").isEmpty():
             return moved.select("key", "final")
         at = moved.select("key", F.coalesce("_next", "final").alias("final"))
@@ -92,7 +94,7 @@ def scalars(records: DataFrame, depth: int | None = None) -> DataFrame:
         element = element.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_total") / F.col("_step")).cast("int") - 1)))
         element = element.select("type_key", (F.col("offset") + F.col("_k") * F.col("_step")).alias("offset"), F.concat("name", F.lit("["), F.col("_k").cast("string"), F.lit("]")).alias("name"), "of")
         # Types nest a few levels deep: each level is written once and read by the next.
-        parts = member.unionByName(base).unionByName(element).checkpoint()
+        parts = lineage.cut(member.unionByName(base).unionByName(element))
         if parts.isEmpty():
             return last_at_offset(done)
     raise ValueError(f"types nest over more than {most} levels")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from twinscope import schema
 from twinscope.functions import codec
 from twinscope.functions.entity import has_text
-from twinscope.operators import joins
+from twinscope.operators import joins, lineage
 from twinscope.operators.store import State
 
 #: Names that old compilers cut, and their length.
@@ -201,7 +201,7 @@ def referencing_pairs(state: State) -> DataFrame:
 def references(state: State, passes: int = 10) -> State:
     """Match along references until nothing new is found, in a bounded number of passes."""
     for _ in range(passes):
-        pairs = referencing_pairs(state).checkpoint()
+        pairs = lineage.cut(referencing_pairs(state))
         if pairs.isEmpty():
             return state
         state = state.match(pairs).cut()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import entity
+from twinscope.operators import lineage
 
 DEPTH = 10
 
@@ -17,7 +18,7 @@ def thunk_names(merged: DataFrame, depth: int = DEPTH, eager: bool = False) -> D
     says what they are.
 
     Each step is a join on the reference, so nothing depends on the length of the
-    longest chain but the number of steps. With ``eager`` each step is checkpointed, and
+    longest chain but the number of steps. With ``eager`` the lineage is cut at each step, and
     the walk ends when nothing is left to follow: most references are one step long.
     """
     kinds = merged.where(F.col("type").isin(schema.THUNK, schema.VTORDISP, schema.IMPORT_THUNK))
@@ -29,7 +30,7 @@ def thunk_names(merged: DataFrame, depth: int = DEPTH, eager: bool = False) -> D
         up = children.select(F.col("addr").alias("ref"), F.col("ref").alias("next"))
         for _ in range(depth - 1):
             if eager:
-                at = at.checkpoint()
+                at = lineage.cut(at)
                 if at.where("root is null and ref is not null").isEmpty():
                     break
             at = at.join(up, "ref", "left").withColumn("ref", F.when(F.col("root").isNull(), F.col("next")).otherwise(F.col("ref"))).drop("next")

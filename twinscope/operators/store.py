@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import entity
-from twinscope.operators import joins
+from twinscope.operators import joins, lineage
 
 NAMES = tuple(schema.ATTRIBUTES)
 
@@ -101,7 +101,7 @@ class State:
 
     def cut(self) -> State:
         """Cut the lineage, in the folder that spark.checkpoint.dir names."""
-        return replace(self, entities=self.entities.checkpoint(), matches=self.matches.checkpoint(), events=self.events.checkpoint())
+        return replace(self, entities=lineage.cut(self.entities), matches=lineage.cut(self.matches), events=lineage.cut(self.events))
 
     # Scans
 

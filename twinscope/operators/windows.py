@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import entity
-from twinscope.operators import joins
+from twinscope.operators import joins, lineage
 
 
 def max_sizes(entities: DataFrame, sections: DataFrame, img: int) -> DataFrame:
@@ -89,7 +89,18 @@ def filled_down(rows: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def running_number(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows with their number, from 0, in one order over all of them: ranges of the order
+    are counted, and each numbers its rows from where the ranges before it end. Only the
+    counts, one a range, are ever in one task."""
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = lineage.cut(ranged)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").count().withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + within - 1).drop("_range", "_offset")
+
+
 def pages(rows: DataFrame, order: Sequence[Column | str], size: int) -> DataFrame:
-    """Rows with their page, from 0. The running number is the only thing that needs one
-    order over all rows; listings are top-level reports, small against their sources."""
-    return rows.withColumn("page", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+    """Rows with their page, from 0."""
+    return running_number(rows, order, "_row").withColumn("page", F.floor(F.col("_row") / size).cast("int")).drop("_row")

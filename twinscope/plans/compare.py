@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import entity
-from twinscope.operators import compare, diff, matchers, naming, reports, store, windows
+from twinscope.operators import compare, diff, lineage, matchers, naming, reports, store, windows
 from twinscope.operators.store import State
 from twinscope.sources import annotations, reports_json
 
@@ -34,10 +34,10 @@ def sizes(img: int) -> Stage:
 
 def names(state: State) -> State:
     """Tell overloaded functions apart, and name what stands for others after them."""
-    own = windows.unique_names(windows.overloaded(state.merged())).checkpoint()
+    own = lineage.cut(windows.unique_names(windows.overloaded(state.merged())))
     at = own.select(F.when(F.col("orig_addr").isNotNull(), schema.ORIG).otherwise(schema.RECOMP).alias("img"), F.coalesce("orig_addr", "recomp_addr").alias("addr"), "computed_name")
     state = state.upsert(store.delta(at, {"computed_name": F.col("computed_name")})).cut()
-    found = naming.thunk_names(state.merged().checkpoint(), eager=True).checkpoint()
+    found = lineage.cut(naming.thunk_names(lineage.cut(state.merged()), eager=True))
     return state.upsert(store.delta(found, {"name": F.col("name")}))
 
 

@@ -172,24 +172,11 @@ def _ref_pass(n: int) -> str:
 
 @query(f"WITH t AS (SELECT p_partkey % 2 AS img, p_partkey * 16 + {BASE} AS addr, (p_partkey // 8 * 2 + p_partkey % 2) * 16 + {BASE} AS ref, p_size % 2 AS d FROM part), m0 AS (SELECT {BASE} AS o, {BASE + 16} AS r), " + ", ".join(_ref_pass(n) for n in range(1, 11)) + " SELECT CAST(o AS BIGINT) AS orig_addr, CAST(r AS BIGINT) AS recomp_addr FROM m10")
 def match_references(spark, sf_dir):
-    _checkpoints(spark)
     return matchers.references(_tree(spark, sf_dir)).matches
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints where the session names none, as in tests."""
-    sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinscope-"))
-
-
 @query()
 def match_static_variables(spark, sf_dir):
-    _checkpoints(spark)
     p = table(spark, sf_dir, "part")
     k, side = F.col("p_partkey"), F.col("p_partkey") % 2
     parents = p.select(F.lit(0).alias("img"), (k * 16 + BASE).alias("addr"), F.lit(schema.FUNCTION).alias("type"), F.concat(F.lit("?"), F.translate("p_name", " ", "_"), F.lit("@")).alias("symbol"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("static_var"), F.lit(None).cast("long").alias("parent_function"))
