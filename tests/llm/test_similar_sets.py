@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.corpus import documents, frame, text
 from tests.llm.test_dedup import WORDS
-from twinscope.llm import similar_sets
+from twinscope.llm import simhash, similar_sets
 
 import corpus_pipeline as cp
 
@@ -71,17 +71,47 @@ def test_stage_joins_at_the_limit_only(spark, tmp_path):
     assert got == set(brute_components(rows))
 
 
-def test_group_links_of_a_crowd():
+def test_group_links_of_crowds():
     rng = np.random.default_rng(6)
-    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(80)] + [np.arange(100, 140) + (i % 3) for i in range(50)]
-    parent = similar_sets.group_links(np.append(0, np.cumsum([len(s) for s in sets])), np.concatenate(sets), 0.6)
+    sets = [np.unique(rng.integers(0, 1 << 62, 40)) for _ in range(80)]
+    base = np.sort(rng.integers(0, 1 << 62, 60))
+    sets += [np.unique(np.append(base[i % 9 :], rng.integers(0, 1 << 62, i % 5))) for i in range(70)] + [sets[0], sets[1][:-1]]
+    group = np.repeat([3, 8], [100, len(sets) - 100])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    wide = simhash.bits_of(np.concatenate(sets).astype(np.uint64), row, len(sets), similar_sets.WIDTH).view(np.int64)
+    rows = [np.concatenate([w, s]) for w, s in zip(wide, sets)]
+    parent = similar_sets.group_links(group, np.append(0, np.cumsum([len(s) for s in rows])), np.concatenate(rows), 0.8)
     want = np.arange(len(sets))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b)):
+            if group[i] == group[j] and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
                 x, y = sorted((want[i], want[j]))
                 want[want == y] = x
-    assert (parent == want).all()
+    assert (parent == want).all() and len(set(parent.tolist())) < len(sets) - 60
+
+
+def test_radius_holds_at_the_limit():
+    """Fingerprints of sets of all sizes that share just enough are within the radius."""
+    rng = np.random.default_rng(4)
+    far = []
+    for n in [4, 5, 6, 9, 20, 60, 200, 1000]:
+        for _ in range(150):
+            common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            a = np.append(common, rng.integers(0, 1 << 63, n // 8, dtype=np.uint64))
+            b = np.append(common, rng.integers(0, 1 << 63, n // 4 - n // 8, dtype=np.uint64))
+            f = simhash.bits_of(np.append(a, b), np.repeat([0, 1], [len(a), len(b)]), 2, similar_sets.WIDTH)
+            far.append(int(np.bitwise_count(f[0] ^ f[1]).sum()))
+    assert max(far) < similar_sets.radius_for(0.8) - 10
+
+
+def test_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets, "HOT_ROWS", 32)
+    rng = random.Random(8)
+    rows = [(i, " ".join([text(rng, 60), "a passage that all of these texts have in common and that makes some shingles hot", text(rng, 20)])) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, t in rows[:20]]
+    got = {r.doc_id: r.component_id for r in similar_sets.cluster(frame(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_components(rows)
+    assert similar_sets._hot(frame(spark, rows).select("text"), 5, 0.8).count() > 0
 
 
 def test_keep_one_odd(spark):

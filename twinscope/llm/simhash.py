@@ -67,10 +67,15 @@ def fingerprint(data: np.ndarray, rows: np.ndarray, words: int, width: int = 1)
     from xxhash import xxh64_intdigest
 
     text, starts, ends, row = shingle_bounds(data, rows, words)
-    out = np.zeros((len(rows) - 1, width), np.uint64)
-    if not len(starts):
-        return out
     h = np.fromiter((xxh64_intdigest(text[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    return bits_of(h, row, len(rows) - 1, width)
+
+
+def bits_of(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> np.ndarray:
+    """The fingerprints of rows whose shingles have the hashes ``h``; ``row`` is ascending."""
+    out = np.zeros((n_rows, width), np.uint64)
+    if not len(h):
+        return out
     has, first = np.unique(row, return_index=True)
     n = np.diff(np.append(first, len(row)))
     step = 1 << 16

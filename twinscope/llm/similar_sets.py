@@ -1,16 +1,28 @@
-"""Links between texts whose sets of shingles have a Jaccard similarity of at least a
-given value: all of them and no others (shingles are told apart by 64-bit hashes).
-
-Search: let a set of n shingles need a = ceil(similarity * n) of them in common with a
-partner. In the order of hashes, the first n - a + 1 of both sets then share one, and the
-first n - a + k of both share k. So a set lives on only if enough of its first shingles
-occur in other sets that live on, which leaves few but near-duplicates. Those that share
-one of the first n - a + 1, directly or through others, meet in one task, which compares
-whole sets; a crowd of more than ``shard_rows`` sets, or of more shingles than a block
+"""Near-duplicates by the similarity of whole shingle sets: texts link if their sets of
+shingles have a Jaccard similarity of at least a given value. SimHash fingerprints in
+BK-trees find the pairs (see simhash), and every pair found is checked by its sets.
+
+Shards: fingerprints alone cannot be dealt into shards at such a similarity, since no bits
+of two of them need agree. Sets can: let a set of n shingles need a = ceil(similarity * n)
+of them in common with a partner. In the order of hashes, the first n - a + 1 of both
+sets then share one, and the first n - a + k of both share k. So a set lives on only if
+enough of its first shingles occur in other sets that live on, which leaves few but
+near-duplicates; those that share one of the first n - a + 1, directly or through others,
+are a shard. A crowd of more than ``shard_rows`` sets, or of more shingles than a block
 holds, is dealt over blocks that meet pairwise.
 
-Edge cases: shingles as in ``simhash``; texts without words have one set, the empty one,
-and link with nothing but each other, by being equal.
+Search: each group that meets has a BK-tree over fingerprints of WIDTH words, and a query
+follows the edges within the radius, six standard deviations above the bits in which two
+sets at the limit of the similarity are expected to differ (see radius_for): one pair in a
+billion is further apart. Sets of a tree that links have joined need no queries of their
+own, so a crowd of near copies is searched in a few.
+
+A shingle that very many texts have would bring all of them to one task: such shingles are
+known from a sample, and dealt over HOT_PARTS. The sample decides where rows meet, never
+which sets do.
+
+Edge cases: shingles as in ``simhash``, told apart by 64 bits of hash; texts without words
+have one set, the empty one, and link with nothing but each other, by being equal.
 """
 
 from __future__ import annotations
@@ -25,10 +37,18 @@ from twinscope.llm import graph, shared, simhash
 
 #: Keeps products of similarities and counts on the side that loses no pair.
 EPS = 1e-9
-#: Entries of lists of sets that are counted at once.
+#: Words of 64 bits in a fingerprint.
+WIDTH = 8
+#: Shingles of candidates that are compared at once.
 LISTED = 1 << 18
-#: Shingles of all sets of a block.
-BLOCK_SHINGLES = 1 << 19
+#: Shingles of all sets of a block, and of the groups that are searched together.
+BLOCK_SHINGLES, STEP_SHINGLES = 1 << 19, 1 << 19
+#: Texts that a shingle has, by the sample, to be dealt over so many parts; the most such shingles.
+HOT_ROWS, HOT_PARTS, HOT_MOST = 20_000, 64, 10_000
+#: Bytes of texts in the sample.
+SAMPLE_BYTES = 64 << 20
+#: Fingerprints of copies that a task remembers, to send their shingles once.
+SEEN = 1 << 17
 
 
 def _need(n, similarity: float):
@@ -38,6 +58,16 @@ def _need(n, similarity: float):
     return np.ceil(n * similarity - EPS).astype(np.int64)
 
 
+def radius_for(similarity: float, width: int = WIDTH) -> int:
+    """Bits in which fingerprints of sets at the limit may differ: six deviations above
+    what is expected. Majorities of few shingles differ more often than the angle
+    between long sets says, by a quarter at most."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = 1.25 * np.arccos(cosine) / np.pi
+    bits = 64 * width
+    return int(np.ceil(bits * share + 6 * np.sqrt(bits * share * (1 - share))))
+
+
 def sets_of(data: np.ndarray, rows: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, row offsets into them): each text's distinct shingles in ascending order."""
     from xxhash import xxh64_intdigest
@@ -51,11 +81,23 @@ def sets_of(data: np.ndarray, rows: np.ndarray, words: int) -> tuple[np.ndarray,
     return h[new], np.searchsorted(row[new], np.arange(len(rows)))
 
 
-def prints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float | None = None) -> DataFrame:
-    """(key, fp, n, f) for each row: a long that stands for its set, the set's size, and
-    its shingles; with ``similarity`` only the first ones, by which sets are searched."""
+def _fp(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A long for each set that stands for it."""
     from xxhash import xxh64_intdigest
 
+    return np.array([xxh64_intdigest(h[a:b].tobytes(), simhash.SEED) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64).view(np.int64)
+
+
+def _first(n, similarity: float):
+    """How many of its first shingles tell whether a set may have a partner."""
+    spare = n - _need(n, similarity)
+    if isinstance(n, Column):
+        return F.least(n, spare + F.greatest(spare, F.lit(1)))
+    return np.minimum(n, spare + np.maximum(spare, 1))
+
+
+def prints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
+    """(key, fp, n) for each row: a long that stands for its set, and the set's size."""
     shared.text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
@@ -66,121 +108,224 @@ def prints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
         for batch in batches:
             for lo, hi, data, at in shared.text_steps(batch.column(1)):
                 h, off = sets_of(data, at, words)
-                fp = np.array([xxh64_intdigest(h[a:b].tobytes(), simhash.SEED) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_fp(h, off)), pa.array(np.diff(off).astype(np.int32))], ["_key", "fp", "n"])
+
+    return rows.mapInArrow(work, f"_key {kind}, fp long, n int").withColumnRenamed("_key", key)
+
+
+def first_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(fp, n, t): the first shingles of the sets of ``texts`` (one column). Copies in one
+    task are sent once."""
+    shared.text_batches(texts.sparkSession)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, data, at in shared.text_steps(batch.column(0)):
+                h, off = sets_of(data, at, words)
+                fp, n = _fp(h, off), np.diff(off)
+                fresh = np.ones(len(fp), bool)
+                for i, x in enumerate(fp.tolist()):
+                    fresh[i] = x not in seen
+                    seen.add(x)
+                if len(seen) > SEEN:
+                    seen.clear()
+                most = np.where(fresh, _first(n, similarity), 0)
+                t = h[np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(most, n)].view(np.int64)
+                if len(t):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, most)), pa.array(np.repeat(n, most).astype(np.int32)), pa.array(t)], ["fp", "n", "t"])
+
+    return texts.mapInArrow(work, "fp long, n int, t long")
+
+
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, n, f): the sets of ``texts`` (one column), each as its fingerprint's WIDTH words
+    and then all its shingles in ascending order."""
+    shared.text_batches(texts.sparkSession)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, _, data, at in shared.text_steps(batch.column(0)):
+                h, off = sets_of(data, at, words)
                 n = np.diff(off)
-                most = n
-                if similarity is not None:
-                    need = _need(n, similarity)
-                    most = np.minimum(n, n - need + np.maximum(n - need, 1))
-                f = h[np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(most, n)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(f))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp), pa.array(n.astype(np.int32)), lists], ["_key", "fp", "n", "f"])
-
-    return rows.mapInArrow(work, f"_key {kind}, fp long, n int, f array<long>").withColumnRenamed("_key", key)
-
-
-def group_links(off: np.ndarray, shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """The parents of a forest that joins the sets (row offsets into shingles) which are
-    similar, directly or through others."""
-    size = np.diff(off)
-    n = len(size)
-    kinds, kind = np.unique(shingles, return_inverse=True)
-    having = np.repeat(np.arange(n), size)[np.argsort(kind, kind="stable")]
-    at = np.append(0, np.cumsum(np.bincount(kind, minlength=len(kinds))))
-    parent, done = np.arange(n), np.zeros(n, bool)
+                wide = simhash.bits_of(h, np.repeat(np.arange(len(n)), n), len(n), WIDTH)
+                ends = np.cumsum(n + WIDTH)
+                f = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+                head = (ends - n - WIDTH)[:, None] + np.arange(WIDTH)
+                f[head] = wide
+                f[np.arange(len(h)) + np.repeat(np.arange(1, len(n) + 1) * WIDTH, n)] = h
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(f.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_fp(h, off)), pa.array(n.astype(np.int32)), lists], ["fp", "n", "f"])
+
+    return texts.mapInArrow(work, "fp long, n int, f array<long>")
+
+
+def group_links(group: np.ndarray, off: np.ndarray, f: np.ndarray, similarity: float) -> np.ndarray:
+    """The parents of a forest that joins the sets (WIDTH words of fingerprint, then
+    shingles, from off[i] on) of one group which are similar, directly or through others.
+    ``group`` is ascending."""
+    n = len(group)
+    size = np.diff(off) - WIDTH
+    prints_ = f[off[:-1][:, None] + np.arange(WIDTH)].view(np.uint64)
+    # Sets with one fingerprint are one node of the tree.
+    order = np.lexsort((*prints_.T, group))
+    new = np.append(True, (prints_[order][1:] != prints_[order][:-1]).any(axis=1) | (group[order][1:] != group[order][:-1]))[:n]
+    node = np.empty(n, np.int64)
+    node[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    members = np.append(first, n)
+    forest = simhash.Forest(group[order][first], prints_[order][first])
+    radius = radius_for(similarity)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    parent, done, quota = np.arange(n), np.zeros(n, bool), 4
     while True:
-        # Of two sets that are not joined yet, one at least is outside the largest tree.
-        todo = np.flatnonzero(~done & (parent != np.bincount(parent).argmax()))
+        # Of two sets that are not joined yet, one at least is outside the largest tree of the group.
+        count = np.bincount(parent, minlength=n)[parent]
+        most = np.maximum.reduceat(count, starts)
+        at_most = np.flatnonzero(count == most[own])
+        largest = np.empty(len(starts), np.int64)
+        largest[own[at_most][::-1]] = parent[at_most][::-1]
+        todo = np.flatnonzero(~done & (parent != largest[own]))
         if not len(todo):
             return parent
-        i = todo[0]
-        done[i] = True
-        own = kind[off[i] : off[i + 1]]
-        many = at[own + 1] - at[own]
-        common, total, lo = np.zeros(n, np.int64), np.cumsum(many), 0
-        while lo < len(own):  # entries of the lists of so many shingles at a time that they stay few
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + LISTED, side="right")))
-            part = many[lo:hi]
-            common += np.bincount(having[np.repeat(at[own[lo:hi]] - (np.cumsum(part) - part), part) + np.arange(part.sum())], minlength=n)
-            lo = hi
-        hit = np.flatnonzero((common > 0) & (common >= similarity * (size[i] + size - common) - EPS))
-        graph.unite(parent, np.full(len(hit), i), hit)
-
-
-def _alive(nodes: DataFrame, similarity: float) -> DataFrame:
-    """The nodes that other nodes share enough of the first shingles with."""
-    common = nodes.select("fp", F.explode("f").alias("t")).withColumn("sets", F.count("*").over(Window.partitionBy("t"))).where("sets > 1")
-    have = common.groupBy("fp").agg(F.count("*").alias("have"))
+        begin = np.searchsorted(own[todo], np.arange(len(starts)))
+        todo = todo[np.arange(len(todo)) - begin[own[todo]] < quota]
+        quota *= 2
+        done[todo] = True
+        for lo in range(0, len(todo), 64):
+            part = todo[lo : lo + 64]
+            q, found = forest.within(group[part], prints_[part], radius)
+            # All sets of the nodes found, but those that the query has joined before.
+            many = members[found + 1] - members[found]
+            q = np.repeat(part[q], many)
+            other = order[np.repeat(members[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            apart = parent[q] != parent[other]
+            q, other = q[apart], other[apart]
+            by = np.argsort(q, kind="stable")
+            q, other = q[by], other[by]
+            total = np.cumsum(size[other])
+            a = 0
+            while a < len(q):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LISTED, side="right")))
+                b = min(b, int(np.searchsorted(q, q[a], side="right")))  # one query at a time
+                i, js = q[a], other[a:b]
+                js = js[parent[js] != parent[i]]
+                if len(js):
+                    mine, m = f[off[i] + WIDTH : off[i + 1]], size[js]
+                    theirs = f[np.repeat(off[js] + WIDTH - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                    place = np.minimum(np.searchsorted(mine.view(np.uint64), theirs.view(np.uint64)), max(0, len(mine) - 1))
+                    common = np.bincount(np.repeat(np.arange(len(js)), m)[mine[place] == theirs] if len(mine) else np.zeros(0, np.int64), minlength=len(js))
+                    hit = js[(common > 0) & (common >= similarity * (size[i] + m - common) - EPS)]
+                    graph.unite(parent, np.full(len(hit), i), hit)
+                a = b
+
+
+def _alive(first: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
+    """(fp): the sets of ``first`` (fp, n, t) with which others share enough first shingles."""
+    salted = first.join(F.broadcast(hot), "t", "left").withColumn("part", F.when(F.col("hot"), 1 + F.pmod("fp", F.lit(HOT_PARTS))).otherwise(0))
+    by = Window.partitionBy("t", "part")
+    common = salted.withColumn("others", (F.col("part") > 0) | (F.min("fp").over(by) != F.max("fp").over(by))).where("others")
+    have = common.groupBy("fp", "n").agg(F.count_distinct("t").alias("have"))
     least = _need(F.col("n"), similarity)
-    enough = have.join(nodes.select("fp", "n"), "fp").where(F.col("have") >= F.greatest(least - _need(least, similarity), F.lit(1))).select("fp")
-    return nodes.join(shared.if_small(shared.stash(enough, "alive-keys")), "fp", "left_semi")
+    return have.where(F.col("have") >= F.greatest(least - _need(least, similarity), F.lit(1))).select("fp")
+
+
+def _hot(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(t, hot): the shingles that very many sets have among their first, by a sample of
+    the texts; HOT_MOST at most, by which a table of them may be broadcast."""
+    text = texts.columns[0]
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    one_in = max(1, size // SAMPLE_BYTES)
+    some = first_shingles(texts.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0), words, similarity)
+    often = some.groupBy("t").count().where(F.col("count") >= max(32, HOT_ROWS // one_in)).orderBy(F.desc("count"), "t").limit(HOT_MOST).collect()
+    return texts.sparkSession.createDataFrame([(r.t, True) for r in often], "t long, hot boolean")
 
 
-def links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
+def links(docs: DataFrame, printed: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
     """Links (a, b) that connect the sets of ``docs`` which are similar, directly or
-    through others; ``nodes`` are the distinct rows (fp, n, f) of prints()."""
+    through others; ``printed`` are the rows of prints()."""
+    spark = docs.sparkSession
+    texts = docs.select(text)
+    hot = _hot(texts, words, similarity)
+    alive = shared.stash(_alive(first_shingles(texts, words, similarity), hot, similarity), "alive-keys")
+    shared.free_shuffles(spark)
+    # One text for each set that lives on; a key may have more than one, of which the others go again.
+    named = printed.join(shared.if_small(alive), "fp", "left_semi").groupBy("fp").agg(F.min(key).alias("_key")).select("_key").distinct()
+    named = shared.if_small(shared.stash(named, "alive-rows"))
+    chosen = docs.join(named, F.col(key) == F.col("_key"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    nodes = whole_sets(chosen.select(text), words).join(shared.if_small(alive), "fp", "left_semi").dropDuplicates(["fp"])
+    nodes = shared.stash(nodes, "alive-sets")
+    shared.free_shuffles(spark)
+    shingles = lambda most: F.explode(F.slice("f", F.lit(WIDTH + 1), most))
     before = nodes.count()
-    while True:  # fewer sets share fewer shingles
-        nodes = shared.stash(_alive(nodes, similarity), "alive")
-        left = nodes.count()
-        if left > 0.9 * before or not left:
+    while before:  # fewer sets share fewer shingles
+        again = _alive(nodes.select("fp", "n", shingles(_first(F.col("n"), similarity)).alias("t")), hot, similarity)
+        again = shared.stash(again, "alive-keys")
+        left = again.count()
+        nodes = nodes.join(shared.if_small(again, rows=left), "fp", "left_semi")
+        if left > 0.9 * before:
             break
         before = left
-    first = nodes.select("fp", F.explode(F.slice("f", F.lit(1), F.col("n") - _need(F.col("n"), similarity) + 1)).alias("t"))
-    stars = first.withColumn("a", F.min("fp").over(Window.partitionBy("t"))).select("a", F.col("fp").alias("b"))
+    first = nodes.select("fp", shingles(F.col("n") - _need(F.col("n"), similarity) + 1).alias("t")).join(F.broadcast(hot), "t", "left")
+    # What shares a shingle hangs on one of its sets; on the shingle itself, if very many do.
+    centre = F.min("fp").over(Window.partitionBy("t", F.when(F.col("hot"), F.pmod("fp", F.lit(HOT_PARTS)))))
+    stars = first.select(F.when(F.col("hot"), F.col("t")).otherwise(centre).alias("a"), F.col("fp").alias("b"))
     roots = graph.components(stars).withColumnRenamed("node", "fp").withColumnRenamed("root", "shard")
     shards = shared.stash(roots.unionByName(roots.select(F.col("shard").alias("fp"), "shard").distinct()), "set-shards")
     total = shards.count()
-    whole = prints(docs, text, docs.columns[0], words).select("fp", "f").join(shared.if_small(shards, rows=total), "fp").dropDuplicates(["fp"])
-    each = simhash.dealt(shared.stash(whole, "whole-sets"), shard_rows, F.size("f") / BLOCK_SHINGLES).select("g", "fp", "f")
+    placed = nodes.join(shared.if_small(shards, rows=total), "fp")
+    each = simhash.dealt(placed, shard_rows, F.size("f") / BLOCK_SHINGLES).select("g", "fp", "f")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def links_of(g: np.ndarray, fp: np.ndarray, off: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            cuts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                parent = group_links(off[lo : hi + 1] - off[lo], f[off[lo] : off[hi]], similarity)
-                linked = np.flatnonzero(parent != np.arange(hi - lo))
-                a.append(fp[lo:hi][linked])
-                b.append(fp[lo:hi][parent[linked]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        g, fp, size, f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def links_of(g: np.ndarray, fp: np.ndarray, size: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            parent = group_links(g, np.append(0, np.cumsum(size)), f, similarity)
+            linked = np.flatnonzero(parent != np.arange(len(fp)))
+            shared.trim()
+            return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[parent[linked]])], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             more = batch.column(2)
-            g = np.append(g, batch.column(0).to_numpy(zero_copy_only=False))
-            fp = np.append(fp, batch.column(1).to_numpy(zero_copy_only=False))
-            size = np.append(size, np.diff(more.offsets.to_numpy(zero_copy_only=False)).astype(np.int64))
-            f = np.append(f, more.flatten().to_numpy(zero_copy_only=False))
+            size = np.diff(more.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
+            held.append([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), size, more.flatten().to_numpy(zero_copy_only=False)])
+            if sum(len(x[3]) for x in held) < STEP_SHINGLES:
+                continue
+            g, fp, size, f = (np.concatenate(x) for x in zip(*held))
             cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            held = [[g, fp, size, f]]
             if cut:
-                off = np.append(0, np.cumsum(size))
-                yield links_of(g[:cut], fp[:cut], off[: cut + 1], f)
-                g, fp, size, f = g[cut:], fp[cut:], size[cut:], f[off[cut] :]
-                shared.trim()
-        if len(g):
-            yield links_of(g, fp, np.append(0, np.cumsum(size)), f)
-
-    parts = shared.parts_for(docs.sparkSession, total, 20_000)
+                to = int(size[:cut].sum())
+                yield links_of(g[:cut], fp[:cut], size[:cut], f[:to])
+                held = [[g[cut:], fp[cut:], size[cut:], f[to:]]]
+        if held:
+            yield links_of(*(np.concatenate(x) for x in zip(*held)))
+
+    parts = shared.parts_for(spark, total, 20_000)
     return each.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(work, "a long, b long")
 
 
 def cluster(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
     """(key, fp, component_id, root) for every row: what stands for its set (see prints)
     and the smallest key among the rows it is linked to, directly or through others."""
-    printed = shared.stash(prints(docs, text, key, words, similarity), "set-prints")
-    classes = shared.stash(printed.groupBy("fp").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("f").alias("f")), "set-classes")
-    found = links(docs.select(key, text), classes.select("fp", "n", "f"), text, words, similarity, shard_rows)
-    return simhash.named(printed, classes, found, key)
+    docs = docs.select(key, text)
+    printed = shared.stash(prints(docs, text, key, words), "set-prints")
+    classes = printed.groupBy("fp").agg(F.min(key).alias("least"))
+    return simhash.named(printed.select(key, "fp"), classes, links(docs, printed, text, key, words, similarity, shard_rows), key)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest key.
     Rows with a null key stay only where no row of their group has a key. A key that
     occurs more than once has a row for each group that it is the smallest key of."""
-    grouped = shared.stash(cluster(docs.select(key, text), text, key, words, similarity), "near-duplicates")
-    return simhash.keep_of(docs, grouped, lambda lone: prints(lone, text, "_th", words, similarity), text, key)
+    grouped = shared.stash(cluster(docs, text, key, words, similarity), "near-duplicates")
+    shared.free_shuffles(docs.sparkSession)
+    return simhash.keep_of(docs, grouped, lambda lone: prints(lone, text, "_th", words), text, key)
