@@ -90,27 +90,29 @@ def variables(pairs: DataFrame, layout: DataFrame, state: State | None = None) -
     return out.select("orig_addr", "name", "f.offset", F.col("f.member").alias("member"), (equal & ~F.coalesce(conflict, F.lit(False))).alias("equal"), F.when(short, F.lit("block is shorter than the variable")).alias("error"), "raw_only", "orig_value", "recomp_value")
 
 
-#: An offset from a frame register, as instructions write it.
-STACK_OFFSET = r"(?<![a-z])(e[bs]p) ([+-]) (0x[0-9a-f]+)\]"
+#: An offset from a frame register, as instructions write it: "ebp - 0x8]".
+STACK_OFFSET = r"(?<![a-z])e[bs]p [+-] 0x[0-9a-f]+\]"
 
 
 def stack_offset(text: Column) -> Column:
     """The frame register and offset that an instruction uses; null if none."""
-    register, sign, digits = (F.regexp_extract(text, STACK_OFFSET, k) for k in (1, 2, 3))
-    offset = codec.from_hex(digits) * F.when(sign == "-", -1).otherwise(1)
-    return F.when(register != "", F.struct(register.alias("register"), offset.alias("offset")))
+    found = F.regexp_substr(text, F.lit(STACK_OFFSET))
+    digits = F.substring(found, F.lit(9), F.length(found) - 9)
+    offset = F.conv(digits, 16, 10).cast("long") * F.when(F.substring(found, 5, 1) == "-", -1).otherwise(1)
+    return F.when(found.isNotNull(), F.struct(F.substring(found, 1, 3).alias("register"), offset.alias("offset")))
 
 
 def stack_pairs(blocks: DataFrame, key: str = "orig_addr") -> DataFrame:
     """(key, orig, recomp) distinct pairs of stack offsets at the same place.
 
     ``blocks``: key, block, orig array<string>, recomp array<string>. A block whose sides
-    differ in length, or where one side's instruction has no offset, says nothing.
+    differ in length, or where one side's instruction has no offset, says nothing. A
+    block is decided where it is; only distinct pairs are exchanged.
     """
     usable = blocks.where(F.size("orig") == F.size("recomp"))
-    lines = usable.select(key, "block", F.explode(F.arrays_zip("orig", "recomp")).alias("x")).select(key, "block", stack_offset(F.col("x.orig")).alias("orig"), stack_offset(F.col("x.recomp")).alias("recomp"))
-    broken = lines.where("orig is not null and recomp is null").select(key, "block").distinct()
-    return lines.where("orig is not null").join(broken, [key, "block"], "left_anti").select(key, "orig", "recomp").distinct()
+    zipped = F.transform(F.arrays_zip("orig", "recomp"), lambda x: F.struct(stack_offset(x["orig"]).alias("orig"), stack_offset(x["recomp"]).alias("recomp")))
+    known = usable.select(key, F.filter(zipped, lambda x: x["orig"].isNotNull()).alias("pairs")).where(F.forall("pairs", lambda x: x["recomp"].isNotNull()))
+    return known.select(key, F.explode("pairs").alias("x")).select(key, "x.orig", "x.recomp").distinct()
 
 
 def structural_mismatches(blocks: DataFrame) -> DataFrame:

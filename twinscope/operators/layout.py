@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinscope.operators import lineage
+from twinscope.operators import joins, lineage
 
 #: Primitive types below this key.
 FIRST_RECORD = 0x1000
@@ -132,7 +132,6 @@ def padded(found: DataFrame, total: DataFrame) -> DataFrame:
 def member_at(members: DataFrame, probes: DataFrame) -> DataFrame:
     """Probes (type_key, offset) with the name of the last member at or before them, and
     the distance into it; the first of members at one offset."""
-    first = members.groupBy("type_key", "offset").agg(F.min_by("name", "ordinal").alias("name"))
-    m, p = first.select("type_key", F.col("offset").alias("_at"), "name"), probes
-    near = p.join(m, "type_key", "left").where(F.col("_at").isNull() | (F.col("_at") <= F.col("offset")))
-    return near.groupBy("type_key", "offset").agg(F.max_by("name", "_at").alias("member"), (F.col("offset") - F.max("_at")).alias("into"))
+    first = members.groupBy("type_key", "offset").agg(F.min_by("name", "ordinal").alias("member"))
+    found = joins.asof_backward(probes.select("type_key", "offset").distinct(), first, "offset", ("type_key",), ("member",))
+    return found.select("type_key", "offset", "member", (F.col("offset") - F.col("base")).alias("into"))

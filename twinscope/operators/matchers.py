@@ -21,6 +21,8 @@ from twinscope.operators.store import State
 
 #: Names that old compilers cut, and their length.
 TRUNCATED = 255
+#: Letters by which a cut symbol and what contains it meet.
+GRAM = 5
 NO_MATCH, NON_UNIQUE_SYMBOL, AMBIGUOUS_MATCH, GENERAL_WARNING = "NO_MATCH", "NON_UNIQUE_SYMBOL", "AMBIGUOUS_MATCH", "GENERAL_WARNING"
 SEVERITY = {NO_MATCH: "ERROR", NON_UNIQUE_SYMBOL: "WARNING", AMBIGUOUS_MATCH: "WARNING", GENERAL_WARNING: "WARNING"}
 
@@ -128,7 +130,8 @@ def static_variables(state: State) -> State:
     function's symbol and the variable's name.
 
     Containment has no key to join on, but a symbol contains its parent's symbol, so the
-    two share the parts between separators; candidates meet by those."""
+    two share the parts between separators; candidates meet by those. Where the parent's
+    symbol may be cut within a part, they meet by the first letters of the longer text."""
     orig = state.unmatched(schema.ORIG).where(F.coalesce("static_var", F.lit(False)) & has_text(F.col("name"))).select(F.col("addr").alias("orig_addr"), "name", F.col("parent_function").alias("addr"))
     parents = state.side(schema.ORIG).where(F.col("addr") != 0).select("addr", F.col("symbol").alias("parent"))
     wanted = orig.join(parents, "addr", "left")
@@ -140,7 +143,12 @@ def static_variables(state: State) -> State:
     key = F.expr("element_at(array_sort(filter(split(substring(parent, 2, greatest(length(parent) - 2, 0)), '[^0-9A-Za-z_]+'), x -> x <> ''), (a, b) -> length(b) - length(a)), 1)")
     with_key = known.withColumn("key", F.when(F.col("parent").rlike(r"^[^0-9A-Za-z_].*[^0-9A-Za-z_]$"), key))
     near = with_key.where("key is not null").join(recomp.withColumn("key", F.explode(inner("symbol"))), "key").drop("key")
-    rest = with_key.where("key is null").drop("key").join(recomp, F.contains("symbol", "parent"))
+    longer = F.when(F.length("parent") >= F.length("name"), F.col("parent")).otherwise(F.col("name"))
+    cut = with_key.where("key is null").withColumn("key", F.substring(longer, 1, GRAM))
+    size = F.length("symbol")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring("symbol", i, F.lit(n)))
+    pieces_of = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, GRAM + 1)])))
+    rest = cut.join(recomp.withColumn("key", F.explode(pieces_of)), "key").drop("key")
     fits = near.unionByName(rest).where(F.contains("symbol", "parent") & F.contains("symbol", "name")).select("parent", "orig_addr", "recomp_addr").distinct()
     pairs = joins.first_pairs(fits.withColumn("rank", F.struct("orig_addr", "recomp_addr")), "orig_addr", "recomp_addr", "rank").select("orig_addr", "recomp_addr")
     lone = wanted.join(pairs, "orig_addr", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,26 +52,34 @@ def eliminate(samples: DataFrame, group: str = "array_type") -> DataFrame:
 
     ``samples`` has (group, img, func_addr, used, is_write, seq): a row for each address
     that a function reads or writes. A sample that only one function of each side shares
-    matches them; both are out, and the next such sample counts. The order of samples
-    matters, so each array, a few hundred functions, is one task.
+    matches them; both are out, and the first such sample then left counts. The order of
+    samples matters, so each array, a few hundred functions, is one task; the samples that
+    are ready wait in a heap, so each row is looked at a few times at most.
     """
 
     def work(pdf):
         users: dict = {}
         for row in pdf.sort_values(["img", "seq", "used", "is_write"]).itertuples():
             users.setdefault((row.used, row.is_write), set()).add((row.img, row.func_addr))
-        kind, out, progress = pdf[group].iloc[0], [], True
-        while progress:
-            progress = False
-            for members in users.values():
-                if len(members) == 2 and {m[0] for m in members} == {schema.ORIG, schema.RECOMP}:
-                    pair = dict(members)
-                    gone = set(members)
-                    out.append((kind, pair[schema.ORIG], pair[schema.RECOMP], len(out)))
-                    for other in users.values():
-                        other -= gone
-                    progress = True
-                    break
+        left = list(users.values())
+        samples_of: dict = {}
+        for k, members in enumerate(left):
+            for m in members:
+                samples_of.setdefault(m, []).append(k)
+        is_ready = lambda members: len(members) == 2 and {m[0] for m in members} == {schema.ORIG, schema.RECOMP}
+        ready = [k for k, members in enumerate(left) if is_ready(members)]
+        kind, out = pdf[group].iloc[0], []
+        while ready:
+            k = heapq.heappop(ready)
+            if not is_ready(left[k]):
+                continue
+            pair = dict(left[k])
+            out.append((kind, pair[schema.ORIG], pair[schema.RECOMP], len(out)))
+            for m in pair.items():
+                for other in samples_of[m]:
+                    left[other].discard(m)
+                    if is_ready(left[other]):
+                        heapq.heappush(ready, other)
         return pdf.__class__(out, columns=[group, "orig_addr", "recomp_addr", "nth"])
 
     kind = samples.schema[group].dataType.simpleString()

@@ -1,8 +1,8 @@
 """Text dumps of debug symbols, section by section.
 
 A dump is read as numbered lines. Each record type is a filter and a regular expression
-in the JVM; where a record needs a heading above it, a running window carries that down.
-Windows run per section and module, not over the whole dump, wherever the format allows.
+in the JVM; where a record needs a heading above it, an as-of join finds that by line
+number. Windows run within a module or a function, never over a whole dump.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscope.functions import codec
+from twinscope.operators import joins
 
 # The formats of the lines.
 SECTION = r"^\*\*\* ([A-Z][A-Z ]*[A-Z])\s*$"
@@ -27,6 +28,8 @@ LOCAL = r"\[(\w{4}):(\w{8})\], Type:\s*(\S+), (.+)"
 LEAF = r"^(0x\w+) : .* (LF_\w+)"
 #: Kinds of type records that are read.
 LEAVES = ("LF_ARGLIST", "LF_ARRAY", "LF_BITFIELD", "LF_CLASS", "LF_ENUM", "LF_FIELDLIST", "LF_MFUNCTION", "LF_MODIFIER", "LF_POINTER", "LF_PROCEDURE", "LF_STRUCTURE", "LF_UNION")
+#: Lines of a dump that one task puts in order.
+LINES_TOGETHER = 1 << 16
 #: Keys below this are primitive types.
 FIRST_RECORD = 0x1000
 
@@ -46,23 +49,27 @@ def type_key(text: Column) -> Column:
 
 
 def sections(numbered: DataFrame) -> DataFrame:
-    """``numbered`` (line_no, line) with each line's section; headings are left out. The
-    headings of a dump are a dozen, so they are joined as ranges of lines."""
-    heads = numbered.where(F.col("line").rlike(SECTION)).select(F.col("line_no").alias("_from"), part("line", SECTION, 1).alias("section"))
-    heads = heads.withColumn("_to", F.coalesce(F.lead("_from").over(Window.orderBy("_from")), F.lit(1 << 60)))
-    n, h = numbered.alias("n"), heads.alias("h")
-    return n.join(h, (F.col("n.line_no") > F.col("h._from")) & (F.col("n.line_no") < F.col("h._to"))).select("n.*", "h.section")
+    """``numbered`` (line_no, line) with each line's section; headings are left out, and
+    what is above the first."""
+    is_head = F.col("line").rlike(SECTION)
+    heads = numbered.where(is_head).select("line_no", part("line", SECTION, 1).alias("section"))
+    return under(numbered.where(~is_head), heads, "section").select(*numbered.columns, "section")
+
+
+def under(lines: DataFrame, heads: DataFrame, *columns: str) -> DataFrame:
+    """Lines with the ``columns`` of the last heading above them and its number, ``base``;
+    lines without one are left out."""
+    return joins.asof_backward(lines, heads, "line_no", columns=columns, bucket=LINES_TOGETHER).where("base is not null")
 
 
 def code_lines(lines: DataFrame) -> DataFrame:
     """LINES: (path, line_number, section, offset, seq). Headings name the file and the
     section of the pairs below them."""
-    head = F.when(F.col("line").rlike(LINES_HEAD), F.struct(part("line", LINES_HEAD, 1).alias("path"), hex_part("line", LINES_HEAD, 2).cast("int").alias("section")))
-    at = lines.where("section = 'LINES'").drop("section").withColumn("_head", head)
-    carried = at.withColumn("_of", F.last("_head", ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = carried.where("_head is null and _of is not null")
+    at, is_head = lines.where("section = 'LINES'").select("line_no", "line"), F.col("line").rlike(LINES_HEAD)
+    heads = at.where(is_head).select("line_no", part("line", LINES_HEAD, 1).alias("path"), hex_part("line", LINES_HEAD, 2).cast("int").alias("section"))
+    rows = under(at.where(~is_head), heads, "path", "section")
     pair = F.arrays_zip(F.regexp_extract_all("line", F.lit(LINE_PAIR), 1).alias("l"), F.regexp_extract_all("line", F.lit(LINE_PAIR), 2).alias("o"))
-    each = rows.select("line_no", "_of.path", "_of.section", F.posexplode(pair).alias("_k", "p"))
+    each = rows.select("line_no", "path", "section", F.posexplode(pair).alias("_k", "p"))
     return each.select("path", F.col("p.l").cast("int").alias("line_number"), "section", codec.from_hex(F.col("p.o")).alias("offset"), (F.col("line_no") * 1000 + F.col("_k")).alias("seq"))
 
 
@@ -94,8 +101,8 @@ def functions(lines: DataFrame) -> DataFrame:
     it starts anew in every module.
     """
     rows = lines.where("section = 'SYMBOLS'").select("line_no", "line", part("line", SYMBOL, 1).alias("kind"), part("line", SYMBOL, 2).alias("rest"))
-    up_to = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("module", F.count_if(F.col("line").startswith("** Module")).over(up_to))
+    heads = rows.where(F.col("line").startswith("** Module")).select("line_no")
+    rows = joins.asof_backward(rows, heads, "line_no", bucket=LINES_TOGETHER).withColumn("module", F.coalesce("base", F.lit(-1))).drop("base")
     starts = F.col("kind").isin("S_GPROC32", "S_LPROC32") & F.col("rest").rlike(PROCEDURE)
     of_module = Window.partitionBy("module").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("fn", F.last(F.when(starts, F.col("line_no")), ignorenulls=True).over(of_module)).where("fn is not null")
@@ -116,9 +123,8 @@ def functions(lines: DataFrame) -> DataFrame:
 def leaves(lines: DataFrame) -> DataFrame:
     """TYPES: (key, leaf, text) of the type records that are read; a record is its first
     line and what follows up to the next."""
-    rows = lines.where("section = 'TYPES'")
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("_id", F.last(F.when(F.col("line").rlike(r"^0x\w{4,8} : "), F.col("line_no")), ignorenulls=True).over(w)).where("_id is not null")
+    rows = lines.where("section = 'TYPES'").select("line_no", "line")
+    numbered = under(rows, rows.where(F.col("line").rlike(r"^0x\w{4,8} : ")).select("line_no")).withColumnRenamed("base", "_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     whole = numbered.groupBy("_id").agg(text.alias("text"))
     return whole.select(type_key(part("text", LEAF, 1)).alias("key"), part("text", LEAF, 2).alias("leaf"), "text").where(F.col("leaf").isin(*LEAVES))
