@@ -133,3 +133,46 @@ def page_headings(paged: DataFrame, order: Sequence[Column], shown: str) -> Data
 def diff_blocks(diff_: Column) -> Column:
     """How many blocks of a diff differ."""
     return F.size(F.filter(F.flatten(F.transform(diff_, lambda d: d["groups"])), lambda g: g["both"].isNull()))
+
+
+def shown_diff(stored: Column, whole: Column, grouped: Column) -> Column:
+    """The diff that a report shows of a row (type, is_effective_match, accuracy): one that
+    it has already; all of a table's; and the differing groups of what is not exact."""
+    inexact = F.col("is_effective_match") | (F.col("accuracy") != 1.0)
+    return F.coalesce(stored, F.when(F.col("type") == schema.VTABLE, whole).when(inexact, grouped))
+
+
+def by_address(rows: DataFrame, address: str) -> DataFrame:
+    """The row of one address."""
+    return rows.where(F.col("orig_addr") == address)
+
+
+def shown_columns(rows: DataFrame, recomp: bool, sort: str) -> tuple[DataFrame, str]:
+    """Rows as a listing shows them, with or without the recompiled address, and the
+    column to sort by, which is one that is shown."""
+    if recomp:
+        return rows, sort
+    return rows.drop("recomp_addr"), "orig_addr" if sort == "recomp_addr" else sort
+
+
+def diff_rows(diffs: DataFrame, key: str = "orig_addr") -> DataFrame:
+    """Diffs as rows of a listing: (key, block, n, orig_addr, recomp_addr, mark, text)."""
+    none = F.array().cast("array<array<string>>")
+    row = lambda lines, o, r, mark, t: F.transform(F.coalesce(lines, none), lambda x: F.struct((F.get(x, F.lit(o)) if o is not None else F.lit("")).alias("orig_line"), (F.get(x, F.lit(r)) if r is not None else F.lit("")).alias("recomp_line"), F.lit(mark).alias("mark"), F.get(x, F.lit(t)).alias("text")))
+    blocks = diffs.select(key, F.posexplode(F.flatten(F.transform("diff", lambda d: d["groups"]))).alias("block", "x"))
+    all_ = F.concat(row(F.col("x.both"), 0, 2, " ", 1), row(F.col("x.orig"), 0, None, "-", 1), row(F.col("x.recomp"), None, 0, "+", 1))
+    return blocks.select(key, "block", F.posexplode(all_).alias("n", "r")).select(key, "block", "n", "r.orig_line", "r.recomp_line", "r.mark", "r.text")
+
+
+def failure_counts(failures: DataFrame) -> DataFrame:
+    """(error, subject, n, first): failures (seq, error, subject) by kind and subject, how
+    often each occurred and when first, the most frequent first."""
+    return failures.groupBy("error", "subject").agg(F.count("*").alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first")
+
+
+def first_failures(failures: DataFrame, told_once: Sequence[str]) -> DataFrame:
+    """The failures worth telling: of the kinds ``told_once`` the first of each subject, and
+    all others."""
+    once = F.col("error").isin(*told_once)
+    first = failures.where(once).groupBy("error", "subject").agg(F.min("seq").alias("seq")).select("seq", "error", "subject")
+    return first.unionByName(failures.where(~once).select("seq", "error", "subject"))

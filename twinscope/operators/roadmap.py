@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.functions import codec, entity
+from twinscope.functions import codec, display, entity
 from twinscope.operators import joins, windows
 
 
@@ -65,3 +65,17 @@ def leftover(all_modules: DataFrame, order: DataFrame) -> DataFrame:
 def as_text(road: DataFrame) -> DataFrame:
     address = lambda c: F.coalesce(codec.to_hex(F.col(c)), F.lit(""))
     return road.select(F.concat_ws("  ", F.rpad(F.coalesce("orig_place", F.lit("")), 14, " "), F.rpad(F.coalesce("recomp_place", F.lit("")), 14, " "), F.rpad(address("orig_addr"), 10, " "), F.rpad(address("recomp_addr"), 10, " "), F.lpad(F.coalesce(F.col("displacement").cast("string"), F.lit("")), 8, " "), "row_type", F.coalesce("name", F.lit(""))).alias("line"))
+
+
+def dumps(rows: DataFrame, by: str) -> DataFrame:
+    """The assembly of matched functions as lines in the order of one side's addresses.
+    ``rows``: by (the address), name, lines array<struct<addr, text>>."""
+    heads = rows.select(F.col(by).alias("at"), F.lit(-1).alias("n"), F.concat(F.lit("; "), "name").alias("line"))
+    body = rows.select(F.col(by).alias("at"), F.posexplode("lines").alias("n", "x")).select("at", "n", display.dump_line(F.col("x.addr"), F.col("x.text")).alias("line"))
+    return heads.unionByName(body).orderBy("at", "n")
+
+
+def order_mark(modules: DataFrame) -> DataFrame:
+    """Modules with the mark of those that are out of order. Earliest addresses are compared
+    with a bound that only a marked module lowers, from 0, so no module is ever marked."""
+    return modules.withColumn("mark", F.lit(" "))

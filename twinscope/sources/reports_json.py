@@ -80,3 +80,8 @@ def page(report_json: str, title: str = "report") -> str:
     """A page that holds a report and lists it."""
     safe = json.dumps(json.loads(report_json)).replace("</", "<\\/")
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table id=t></table><script>const r={safe};t.innerHTML=r.data.map(e=>'<tr><td>'+e.address+'<td>'+(100*e.matching).toFixed(2)+'%').join('')</script>"
+
+
+def write(rows: DataFrame, path: str, filename: str, timestamp: float, diff: str | None = None) -> None:
+    """Write a report as one JSON text."""
+    to_json(rows, filename, timestamp, diff).coalesce(1).write.mode("overwrite").text(path)
