@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import codec, entity, report
 from twinscope.operators import compare, diff, joins, layout, lint, matchers, naming, reports, roadmap, store, windows
 from twinscope.operators.store import State
+from twinscope.plans import compare as compare_plans
 from twinscope.sources import annotations, reports_json, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,13 +144,13 @@ def match_imports(spark, sf_dir):
     return matchers.imports(state(spark, sf_dir)).matches
 
 
-_LINES = "m AS (SELECT event_id AS a, 'u' || user_id AS path, event_id % 100 + 1 AS line_no FROM events WHERE event_id % 20 = 0), d AS (SELECT 'u' || user_id AS path, event_id % 100 AS line_no, min(event_id) AS b FROM events GROUP BY 1, 2)"
+_LINES = "m AS (SELECT event_id AS a, 'u' || user_id AS path, event_id % 100 + 1 AS line_no FROM events), d AS (SELECT 'u' || user_id AS path, event_id % 100 AS line_no, min(event_id) AS b FROM events GROUP BY 1, 2)"
 
 
 @query(f"WITH {_LINES} SELECT min(m.a) AS orig_addr, d.b AS recomp_addr FROM m JOIN d ON m.path = d.path AND m.line_no = d.line_no GROUP BY d.b")
 def match_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("u"), "user_id"))
-    marks = e.where(F.col("event_id") % 20 == 0).select(F.lit(0).alias("img"), F.col("event_id").alias("addr"), F.lit(schema.LINE).alias("type"), F.col("path").alias("filename"), (F.col("event_id") % 100).cast("int").alias("line"))
+    marks = e.select(F.lit(0).alias("img"), F.col("event_id").alias("addr"), F.lit(schema.LINE).alias("type"), F.col("path").alias("filename"), (F.col("event_id") % 100).cast("int").alias("line"))
     lines = e.select("path", (F.col("event_id") % 100).cast("int").alias("line_no"), F.col("event_id").alias("addr"), F.col("event_id").alias("seq"))
     return matchers.lines(State.of(spark, marks), lines).matches
 
@@ -400,18 +401,18 @@ def ui_search(spark, sf_dir):
     return reports.search(samples(spark, sf_dir), " F1 ", hide_perfect=True, hide_stubs=True).select("sample_id", "orig_addr")
 
 
-_PAGED = f"WITH {_REP}, s AS (SELECT orig_addr, name, row_number() OVER (ORDER BY {_RANK} DESC, orig_addr) AS row FROM rep WHERE sample_id = 2)"
+_PAGED = f"WITH {_REP}, s AS (SELECT sample_id, orig_addr, name, row_number() OVER (ORDER BY {_RANK} DESC, orig_addr, sample_id) AS row FROM rep)"
 
 
 def _paged(spark, sf_dir) -> DataFrame:
-    rows = samples(spark, sf_dir).where("sample_id = 2")
-    order = reports.sort_columns("accuracy", descending=True)
+    rows = samples(spark, sf_dir)
+    order = [*reports.sort_columns("accuracy", descending=True), F.col("sample_id")]
     return joins.numbered(windows.pages(rows, order, 200), ["page"], order, "row")
 
 
-@query(_PAGED + " SELECT orig_addr, CAST((row - 1) // 200 AS INTEGER) AS page, CAST((row - 1) % 200 + 1 AS INTEGER) AS row FROM s")
+@query(_PAGED + " SELECT sample_id, orig_addr, CAST((row - 1) // 200 AS INTEGER) AS page, CAST((row - 1) % 200 + 1 AS INTEGER) AS row FROM s")
 def ui_pages(spark, sf_dir):
-    return _paged(spark, sf_dir).select("orig_addr", "page", "row")
+    return _paged(spark, sf_dir).select("sample_id", "orig_addr", "page", "row")
 
 
 @query(_PAGED + " SELECT CAST((row - 1) // 200 AS INTEGER) AS page, arg_min(orig_addr, row) AS first, arg_max(orig_addr, row) AS last FROM s GROUP BY 1")
@@ -419,22 +420,24 @@ def ui_page_headings(spark, sf_dir):
     return reports.page_headings(_paged(spark, sf_dir), [], "orig_addr")
 
 
-@query(f"WITH {_REP} SELECT orig_addr, recomp_addr, name, type, accuracy, is_effective_match, is_stub FROM rep WHERE sample_id = 3")
+@query(f"WITH {_REP} SELECT sample_id, orig_addr, recomp_addr, name, type, accuracy, is_effective_match, is_stub FROM rep")
 def report_json_round_trip(spark, sf_dir):
-    rows = samples(spark, sf_dir).where("sample_id = 3")
-    written = reports_json.to_json(rows, "a.dll", 0.0).select(F.lit(3).alias("sample_id"), F.col("value").alias("text"))
-    return reports_json.parse(written).select("orig_addr", "recomp_addr", "name", "type", "accuracy", "is_effective_match", "is_stub")
+    rows, written = samples(spark, sf_dir), None
+    for k in range(1, 6):  # a report for each priority
+        one = reports_json.to_json(rows.where(F.col("sample_id") == k), "a.dll", 0.0).select(F.lit(k).alias("sample_id"), F.col("value").alias("text"))
+        written = one if written is None else written.unionByName(one)
+    return reports_json.parse(written).select("sample_id", "orig_addr", "recomp_addr", "name", "type", "accuracy", "is_effective_match", "is_stub")
 
 
-@query(f"WITH {_REP} SELECT orig_addr || ',' || coalesce(recomp_addr, '') || ',' || name || ',' || coalesce(CAST(type AS VARCHAR), '') AS value FROM rep WHERE sample_id = 4")
+@query(f"WITH {_REP} SELECT sample_id || ',' || orig_addr || ',' || coalesce(recomp_addr, '') || ',' || name || ',' || coalesce(CAST(type AS VARCHAR), '') AS value FROM rep")
 def report_csv(spark, sf_dir):
-    return reports_json.to_csv(samples(spark, sf_dir).where("sample_id = 4"), ["orig_addr", "recomp_addr", "name", "type"])
+    return reports_json.to_csv(samples(spark, sf_dir), ["sample_id", "orig_addr", "recomp_addr", "name", "type"])
 
 
-@query(f"WITH {_REP} SELECT orig_addr, CASE WHEN {_EFF} = 1.0 THEN 'green' WHEN {_EFF} > 0.8 THEN 'yellow' ELSE 'red' END AS colour, round({_EFF}, 6) AS effective_accuracy FROM rep WHERE sample_id = 1")
+@query(f"WITH {_REP} SELECT sample_id, orig_addr, CASE WHEN {_EFF} = 1.0 THEN 'green' WHEN {_EFF} > 0.8 THEN 'yellow' ELSE 'red' END AS colour, round({_EFF}, 6) AS effective_accuracy FROM rep")
 def percent_colours(spark, sf_dir):
     eff = report.effective_accuracy(F.col("accuracy"), F.col("is_effective_match"))
-    return samples(spark, sf_dir).where("sample_id = 1").select("orig_addr", report.percent_colour(eff).alias("colour"), F.round(eff, 6).alias("effective_accuracy"))
+    return samples(spark, sf_dir).select("sample_id", "orig_addr", report.percent_colour(eff).alias("colour"), F.round(eff, 6).alias("effective_accuracy"))
 
 
 # Roadmap
@@ -458,17 +461,15 @@ def library_order(spark, sf_dir):
     return roadmap.library_order(_means(spark, sf_dir).join(s, "l_suppkey"))
 
 
-@query("SELECT n_name AS module FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+@query("SELECT DISTINCT 'c' || c_custkey AS module FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def leftover_modules(spark, sf_dir):
-    used = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("module"))
-    return roadmap.leftover(table(spark, sf_dir, "nation").select(F.col("n_name").alias("module")), used)
+    name = lambda k: F.concat(F.lit("c"), F.col(k)).alias("module")
+    return roadmap.leftover(table(spark, sf_dir, "customer").select(name("c_custkey")), table(spark, sf_dir, "orders").select(name("o_custkey")))
 
 
-@query("(SELECT 'missing' AS side, c_nationkey AS k FROM customer WHERE c_acctbal < 0 EXCEPT SELECT 'missing', s_nationkey FROM supplier) UNION ALL (SELECT 'extra', s_nationkey FROM supplier EXCEPT SELECT 'extra', c_nationkey FROM customer WHERE c_acctbal < 0)")
+@query("(SELECT '-' AS side, c_name AS name FROM customer EXCEPT SELECT '-', s_name FROM supplier) UNION ALL (SELECT '+', s_name FROM supplier EXCEPT SELECT '+', c_name FROM customer)")
 def target_differences(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).distinct()
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
-    return c.exceptAll(s).select(F.lit("missing").alias("side"), "k").unionByName(s.exceptAll(c).select(F.lit("extra").alias("side"), "k"))
+    return compare_plans.exports_diff(table(spark, sf_dir, "customer").withColumnRenamed("c_name", "name"), table(spark, sf_dir, "supplier").withColumnRenamed("s_name", "name")).select("side", "name")
 
 
 # Positional comparison
@@ -504,9 +505,9 @@ def bijective_pairs(spark, sf_dir):
     return compare.partners(p, ("l_orderkey",), "a", "b")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, CAST(l_partkey % 64 AS INTEGER) AS a, CAST(l_suppkey % 64 AS INTEGER) AS b FROM lineitem WHERE l_linenumber <> 4) SELECT DISTINCT k AS orig_addr, 'ebp' AS orig_register, -CAST(a AS BIGINT) AS orig_offset, CASE WHEN b % 2 = 0 THEN 'ebp' ELSE 'esp' END AS recomp_register, CAST(b AS BIGINT) AS recomp_offset FROM l""")
+@query("""WITH l AS (SELECT l_orderkey AS k, CAST(l_partkey % 64 AS INTEGER) AS a, CAST(l_suppkey % 64 AS INTEGER) AS b FROM lineitem) SELECT DISTINCT k AS orig_addr, 'ebp' AS orig_register, -CAST(a AS BIGINT) AS orig_offset, CASE WHEN b % 2 = 0 THEN 'ebp' ELSE 'esp' END AS recomp_register, CAST(b AS BIGINT) AS recomp_offset FROM l""")
 def stack_pairs(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <> 4")
+    items = table(spark, sf_dir, "lineitem")
     a = F.concat(F.lit("mov eax, dword ptr [ebp - "), codec.to_hex(F.col("l_partkey") % 64), F.lit("]"))
     b = F.concat(F.lit("mov eax, dword ptr ["), F.when(F.col("l_suppkey") % 64 % 2 == 0, "ebp").otherwise("esp"), F.lit(" + "), codec.to_hex(F.col("l_suppkey") % 64), F.lit("]"))
     blocks = items.select(F.col("l_orderkey").alias("orig_addr"), F.xxhash64(*items.columns).alias("block"), F.array(a, F.lit("ret")).alias("orig"), F.array(b, F.lit("ret")).alias("recomp"))
@@ -537,9 +538,9 @@ def path_suffix_match(spark, sf_dir):
     return text.local_paths(foreign, local).select("page_id", "local_path")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(hex(encode(substr(text, 1, 8))), '[1-9A-F]') THEN 'NO' WHEN octet_length(encode(substr(text, 1, 8))) < 4 THEN 'YES' ELSE 'MAYBE' END AS state FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(hex(encode(text)), '[1-9A-F]') THEN 'NO' WHEN octet_length(encode(text)) < 4 THEN 'YES' ELSE 'MAYBE' END AS state FROM documents")
 def init_states(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", codec.init_state(F.substring("text", 1, 8).cast("binary"), F.lit(4)).alias("state"))
+    return table(spark, sf_dir, "documents").select("doc_id", codec.init_state(F.col("text").cast("binary"), F.lit(4)).alias("state"))
 
 
 @query("SELECT o_orderkey, '0x' || lower(to_hex(o_orderkey)) AS shown, o_orderkey AS back FROM orders")
@@ -611,17 +612,35 @@ def unified_diffs(spark, sf_dir):
     return diff.unified_diffs(found.select("user_id", "codes", lines("a").alias("orig"), lines("b").alias("recomp")), keep=["user_id"])
 
 
-@query("SELECT o_orderkey, o_orderstatus IN ('F', 'O') AS effective FROM orders")
+#: Listings that match in effect, or not; one for each rule and its nearest miss.
+LISTINGS = (
+    ("cmp eax, dword ptr [ebp - 8] / jg {}", "cmp dword ptr [ebp - 8], eax / jl {}", True),
+    ("cmp eax, dword ptr [ebp - 8] / jg {}", "cmp dword ptr [ebp - 8], eax / jg {}", False),
+    ("test cl, dl / jne {}", "test dl, cl / jne {}", True),
+    ("mov eax, dword ptr [ebp - 4] / cmp eax, dword ptr [ebp - 8] / ja {}", "mov eax, dword ptr [ebp - 8] / cmp eax, dword ptr [ebp - 4] / jb {}", True),
+    ("lea eax, [ebp - 4] / cmp eax, dword ptr [ebp - 8] / ja {}", "lea eax, [ebp - 8] / cmp eax, dword ptr [ebp - 4] / jb {}", False),
+    ("fld dword ptr [{}] / fmul dword ptr [edi] / ret", "fld dword ptr [edi] / fmul dword ptr [{}] / ret", True),
+    ("fld dword ptr [{}] / fdiv dword ptr [edi] / ret", "fld dword ptr [edi] / fdiv dword ptr [{}] / ret", False),
+    ("mov edx, {} / add edx, dword ptr [ebp - 4]", "mov edx, dword ptr [ebp - 4] / add edx, {}", True),
+    ("mov edx, {} / sub edx, dword ptr [ebp - 4]", "mov edx, dword ptr [ebp - 4] / sub edx, {}", False),
+    ("mov eax, {} / push eax / ret", "mov ecx, {} / push ecx / ret", True),
+    ("push eax / mov edi, {} / ret", "push ecx / mov edi, {} / ret", False),
+    ("inc esi / nop / mov eax, {} / nop / ret", "nop / mov eax, {} / nop / inc esi / ret", True),
+    ("inc eax / nop / mov eax, {} / nop / ret", "nop / mov eax, {} / nop / inc eax / ret", False),
+    ("mov eax, {} / ret", "mov ax, {} / ret", False),
+    ("mov eax, {} / ret", "mov eax, {} / ret", False),  # equal: a match, not an effective one
+)
+
+
+@query("SELECT o_orderkey, list_contains([" + ", ".join(str(i) for i, x in enumerate(LISTINGS) if x[2]) + f"], o_orderkey % {len(LISTINGS)}) AS effective FROM orders")
 def effective_matches(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    label = codec.to_hex(F.col("o_orderkey"))
-    a = F.array(F.lit("mov eax, dword ptr [ebp - 4]"), F.lit("cmp eax, ebx"), F.concat(F.lit("jg "), label))
-    swapped = F.array(F.lit("mov eax, dword ptr [ebp - 4]"), F.lit("cmp ebx, eax"), F.concat(F.lit("jl "), label))
-    renamed = F.array(F.lit("mov ecx, dword ptr [ebp - 4]"), F.lit("cmp ecx, ebx"), F.concat(F.lit("jg "), label))
-    wrong = F.array(F.lit("mov eax, dword ptr [ebp - 8]"), F.lit("cmp eax, ebx"), F.concat(F.lit("jg "), label))
-    status = F.col("o_orderstatus")
-    pairs = o.select("o_orderkey", a.alias("a"), F.when(status == "F", swapped).when(status == "O", renamed).otherwise(wrong).alias("b"))
-    return diff.sequences(pairs, keep=["o_orderkey"]).select("o_orderkey", "effective")
+    kind, label = F.col("o_orderkey") % len(LISTINGS), codec.to_hex(F.col("o_orderkey") + 16)
+    def side(k: int) -> Column:
+        text = F.get(F.array(*[F.lit(x[k]) for x in LISTINGS]), kind.cast("int"))
+        return F.split(F.replace(text, F.lit("{}"), label), " / ")
+
+    return diff.sequences(o.select("o_orderkey", side(0).alias("a"), side(1).alias("b")), keep=["o_orderkey"]).select("o_orderkey", "effective")
 
 
 @query()
