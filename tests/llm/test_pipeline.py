@@ -55,3 +55,32 @@ def test_run_and_names(spark, tmp_path):
     tables(spark, str(tmp_path))
     assert cp.run(spark, str(tmp_path)).count() > 0
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, and columns with the names that stages use."""
+    rng = random.Random(12)
+    words = text(rng, 60)
+    rows = [(1, words, "en", "a"), (1, words, "en", "a"), (2, words, None, None), (None, words, "en", "a"), (None, text(rng, 60), None, "b"), (3, None, "en", "a"), (4, "", None, None), (5, text(rng, 5000), "en", "b"), (6, text(rng, 60), "en", None)]
+    extra = "text_hash long, _w string, name string, th long, raw string, fp long, base long, size string, target double, kept boolean, start long, _key long"
+    docs = spark.createDataFrame([(i, t, x, s, None if t is None else len(t), *[None] * 12) for i, t, x, s in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept[name] = sorted(str(r.doc_id) for r in docs.collect())
+    assert kept["quality_rules"] == sorted(["1", "1", "2", "None", "None", "5", "6"])
+    assert kept["simhash_near_dedup"] == kept["suffix_array_dedup"] == sorted(["1", "5", "6", "None"])
+    assert set(kept["packing"]) == set(kept["source_mixing"])
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], [(1, None, None, None, None), (None, None, None, None, None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        for name, stage in cp.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            want = {"quality_rules": 0, "simhash_near_dedup": min(1, len(rows)), "suffix_array_dedup": len(rows), "packing": len(rows)}.get(name)
+            assert want is None or got.count() == want, name

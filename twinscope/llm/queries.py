@@ -1,4 +1,5 @@
-"""The queries of this subpackage: thin digests of its operators over whole tables."""
+"""The queries of this subpackage: thin digests of its operators over whole tables, and
+their SQL where SQL can express them in the time there is."""
 
 from __future__ import annotations
 
@@ -79,4 +80,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_packing, op6_simhash, op7_substring_dedup, op8_warc, op9_toxicity, op10_language_id)}
-ORACLE: dict[str, str] = {}
+
+_WORDS = "SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents"
+ORACLE: dict[str, str] = {
+    "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT a AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.a) AS n_links, min(b) AS component_id, min(b) = a AS kept FROM r GROUP BY a""",
+    "op7_substring_dedup": f"""WITH d AS ({_WORDS}), t AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)), f AS (SELECT s, min(doc_id) AS m FROM t GROUP BY 1),
+ c AS (SELECT DISTINCT doc_id, i + k AS p FROM t JOIN f USING (s), range(13) AS x(k) WHERE f.m < doc_id), e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+ k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS kept FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.p = e.p WHERE c.p IS NULL GROUP BY 1), n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE q IS DISTINCT FROM p - 1) AS n_spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM c) GROUP BY 1)
+ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INTEGER) AS n_spans FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages), q AS (SELECT *, octet_length(encode(h)) AS n, octet_length(encode(h)) >= 100 AND m <> page_id AS again FROM p)
+ SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to FROM q""",
+}
