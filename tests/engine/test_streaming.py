@@ -3,7 +3,7 @@ from twinscope import streaming
 
 def test_set_once(spark, tmp_path):
     schema = "orig_addr long, recomp_addr long"
-    for i, rows in enumerate(([(1, 5), (2, 6)], [(1, 9), (3, 7)])):
+    for i, rows in enumerate(([(1, 8), (1, 5), (2, 6), (1, 7)], [(1, 2), (3, 7)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = streaming.set_once(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(120)

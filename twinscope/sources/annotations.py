@@ -42,13 +42,15 @@ _VARIABLE = r"((?:\w+::)*\w+)(?:\(\w|\)\(|\[|\s*=|;)"
 def markers(lines: DataFrame, line: str = "line", aliases: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Lines that are markers, with kind, module, offset, extra, and whether they are
     well formed. ``aliases`` maps modules to other words for the kinds."""
-    part = lambda k: F.regexp_extract(F.col(line), MARKER, k)
-    found = lines.where(F.col(line).rlike(MARKER))
+    # One match a line: all groups at once, between characters that no marker holds.
+    groups = F.split(F.regexp_replace(F.col(line), f"{MARKER}(?s:.*)", "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    found = lines.where(F.col(line).rlike(MARKER)).withColumn("_groups", groups)
+    part = lambda k: F.get("_groups", F.lit(k - 1))
     kind, module = F.upper(part(1)), F.upper(part(2))
     for target, words in normal_aliases(aliases or {}).items():
         for word, meaning in words.items():
             kind = F.when((module == target) & (F.upper(part(1)) == word), meaning).otherwise(kind)
-    return found.select("*", kind.alias("kind"), module.alias("module"), codec.from_hex(part(3)).alias("offset"), F.nullif(part(4), F.lit("")).alias("extra"), F.col(line).rlike(STRICT).alias("strict"), kind.isin(*KINDS).alias("known"))
+    return found.select(*lines.columns, kind.alias("kind"), module.alias("module"), codec.from_hex(part(3)).alias("offset"), F.nullif(part(4), F.lit("")).alias("extra"), F.col(line).rlike(STRICT).alias("strict"), kind.isin(*KINDS).alias("known"))
 
 
 def normal_aliases(aliases: Mapping[str, Mapping[str, str]]) -> dict[str, dict[str, str]]:

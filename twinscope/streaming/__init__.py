@@ -20,22 +20,24 @@ def first_seen(errors: DataFrame, time: str = "ts", delay: str = "1 hour", keys:
     return errors.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def set_once(pairs: DataFrame, left: str = "orig_addr", right: str = "recomp_addr") -> DataFrame:
-    """Matches that are never taken back: the first partner of each left side stays."""
+def set_once(pairs: DataFrame, left: str = "orig_addr", right: str = "recomp_addr", order: str | None = None) -> DataFrame:
+    """Matches that are never taken back: the first partner of each left side stays. Of
+    those that arrive together it is the first by ``order``, a whole number, and else the
+    smallest."""
     kinds = f"{left} long, {right} long"
+    by = order or right
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            for _ in batches:
-                pass
-            return
-        first = None
+        known, best = state.exists, None
         for pdf in batches:
-            if len(pdf) and first is None:
-                first = pdf.iloc[0][right]
-        if first is not None:
-            state.update((int(first),))
-            yield pd.DataFrame({left: [key[0]], right: [int(first)]})
+            if known or not len(pdf):
+                continue
+            row = pdf.sort_values([by, right]).iloc[0]
+            if best is None or (row[by], row[right]) < best:
+                best = (row[by], row[right])
+        if best is not None:
+            state.update((int(best[1]),))
+            yield pd.DataFrame({left: [key[0]], right: [int(best[1])]})
 
     return pairs.groupBy(left).applyInPandasWithState(keep, kinds, f"{right} long", "append", "NoTimeout")
 
