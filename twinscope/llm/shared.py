@@ -15,6 +15,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ try:
 except (OSError, AttributeError):
     _libc = None
 
-_written: list[tuple[SparkSession, str]] = []
+#: What stash() and new_path() have written: session, path, and the owner at that time.
+_written: list[tuple[SparkSession, str, str | None]] = []
+_owner: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,21 +61,34 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _owner))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for files that an operator writes itself."""
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, _owner))
     return path
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete what :func:`stash` has written; results that read it are then gone too."""
-    while _written:
-        session, path = _written.pop()
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is written inside belongs to ``owner``, and can be released apart from the rest."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release(owner: str | None = None) -> None:
+    """Delete what has been written, or only what belongs to ``owner``; results that read
+    it are then gone too."""
+    for entry in [x for x in _written if owner is None or x[2] == owner]:
+        _written.remove(entry)
+        session, path, _ = entry
         jvm = session.sparkContext._jvm
         if jvm is None:
             continue
@@ -215,16 +231,27 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 class Spans:
     """Hashes of any spans of one byte array, each in constant time: a prefix
-    polynomial modulo 2^64. Equal spans have equal hashes wherever they lie."""
+    polynomial modulo 2^64. Equal spans have equal hashes wherever they lie. Texts of a
+    thousand bytes and more can be made to collide in any such polynomial, so spans of
+    more than ``SHORT`` bytes are hashed by XXH3."""
+
+    SHORT = 256
 
     def __init__(self, data: np.ndarray):
+        self._data = data
         self._sum = np.zeros(len(data) + 1, np.uint64)
         terms = mix(np.arange(1, 257, dtype=np.uint64))[data]
         terms *= _up.first(len(data))
         np.cumsum(terms, out=self._sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * _down.at(start) + (end - start).astype(np.uint64))
+        out = mix((self._sum[end] - self._sum[start]) * _down.at(start) + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start > self.SHORT)
+        if len(long):
+            from xxhash import xxh3_64_intdigest
+
+            out[long] = [xxh3_64_intdigest(self._data[a:b].tobytes()) for a, b in zip(start[long].tolist(), end[long].tolist())]
+        return out
 
 
 _IS_GAP = np.zeros(256, bool)
