@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.corpus import documents, frame
-from twinscope.llm import graph, simhash, substring_dedup, suffix_dedup
+from twinscope.llm import graph, shared, simhash, substring_dedup, suffix_dedup
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -42,8 +42,11 @@ def test_suffix_dedup_as_text(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("window", [13, 5])
-def test_substring_dedup(spark, window):
+@pytest.mark.parametrize("window, hot", [(13, False), (5, False), (13, True)])
+def test_substring_dedup(spark, monkeypatch, window, hot):
+    if hot:  # all that occurs ten times is
+        monkeypatch.setattr(substring_dedup, "HOT_COUNT", 1)
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", 10)
     rows = documents()
     words = [WORDS.findall(t or "") for _, t in rows]
     order = [float("inf") if k is None else k for k, _ in rows]
@@ -67,6 +70,19 @@ def test_substring_dedup_odd(spark):
     assert substring_dedup.dedup(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.dedup(frame(spark, []), window=5, block=4)
+    with pytest.raises(TypeError):
+        substring_dedup.dedup(frame(spark, []).withColumn("doc_id", F.lit("a")))
+
+
+def test_spans_of_structured_texts():
+    """A Thue-Morse text and its complement, which collide in polynomials modulo 2^64."""
+    word = b"a"
+    while len(word) < 2048:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")) + word, np.uint8)
+    at = np.array([0, 2048, 4096])
+    a, b, c = shared.Spans(data).of(at, at + 2048).tolist()
+    assert a == c and a != b
 
 
 def brute_print(t, n):
