@@ -129,3 +129,69 @@ def test_every_language_is_learned(spark):
     rows = [(100 * k + i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * (5 + i), f"l{k:02d}") for k in range(70) for i in range(4)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=256)
     assert {x for m in model.within.values() for x in m.classes} == {f"l{k:02d}" for k in range(70)}
+
+
+def brute_risk(w, pos, unl, prior):
+    """The corrected risk of dense rows, term by term."""
+    loss = lambda x, sign: np.log1p(np.exp(-sign * (x @ w[:-1] + w[-1])))
+    positive = np.mean([loss(x, 1) for x in pos])
+    negative = np.mean([loss(x, -1) for x in unl]) - prior * np.mean([loss(x, -1) for x in pos])
+    return prior * positive + max(0.0, negative)
+
+
+def test_training_lowers_the_corrected_risk():
+    rng = np.random.default_rng(2)
+    direction = rng.normal(size=12)
+    make = lambda n, sign: (rng.random((n, 12)) < 1 / (1 + np.exp(-sign * direction))).astype(float)
+    pos, hidden, clean = make(80, 1), make(60, 1), make(540, -1)
+    unl = np.vstack([hidden, clean])
+    sparse = lambda rows: [(np.flatnonzero(x), x[x > 0]) for x in rows]
+    w = toxicity.train_nnpu(sparse(pos), sparse(unl), 12, 0.1)
+    w[-1] += toxicity.cut_point(pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1])  # the cut moves the bias only
+    start = np.append(np.zeros(12), np.log(0.1 / 0.9))
+    assert brute_risk(w, pos, unl, 0.1) < 0.5 * brute_risk(start, pos, unl, 0.1)
+    score = unl @ w[:-1]
+    assert np.mean([(score[:60] > c).mean() for c in score[60:]]) > 0.95  # hidden positives rank above clean rows
+
+
+EXTRA = "score double, predicted int, lang_pred string, fp long, text_hash long, family string, _text string, features string"
+
+
+def with_clashes(spark, rows):
+    """(doc_id, text, lang) with columns of the names that models use."""
+    return spark.createDataFrame([(*r, *[None] * 8) for r in rows], f"doc_id long, text string, lang string, {EXTRA}")
+
+
+def test_models_on_odd_rows(spark):
+    rng = random.Random(14)
+    words = lambda n: text(rng, n)
+    rows = [(i, words(40) + (" scumbag wretched" if i % 6 == 0 else ""), "en" if i % 2 else "fr") for i in range(240)]
+    rows = [(i, t.replace("a", "ä") if x == "fr" else t, x) for i, t, x in rows]
+    odd = [(900, words(60_000) + " scumbag wretched scumbag", "en"), (901, "scumbag wretched", "en"), (901, "scumbag wretched", "en"), (902, "x" * 200_000, None), (903, None, None), (904, "", "fr"), (None, "scumbag", None), (905, "tie tie", "en"), (906, "tie tie", "en")]
+    docs = with_clashes(spark, rows + odd)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0), "x") for i in range(240)], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    got = [(r.doc_id, r.score) for r in toxicity.score(docs.select("doc_id", "text"), model).collect()]
+    by = dict(got)
+    assert len(got) == len(rows) + len(odd) and all(0 <= x <= 1 for _, x in got)
+    assert by[901] > by[905] and by[903] == by[904] < 0.5 and by[905] == by[906] and len({x for k, x in got if k == 901}) == 1
+    languages = language_id.fit(docs)
+    out = language_id.predict(docs.select("doc_id", "text"), languages).collect()
+    said = {r.doc_id: r.lang_pred for r in out}
+    assert len(out) == len(rows) + len(odd) and said[903] == said[904] == "und" and said[900] == "en" and said[905] == said[906]
+    assert toxicity.score(docs.select("doc_id", "text").limit(0), model).count() == 0 and language_id.predict(docs.limit(0).select("doc_id", "text"), languages).count() == 0
+
+
+def test_other_operators_on_clashing_columns(spark, tmp_path):
+    from twinscope.llm import source_mixing, warc
+
+    v = [(i, [float(i == j) for j in range(4)], 1, 2.0, 3) for i in range(4)] + [(9, [0.0, 1.0, 0.0, 0.0], 1, 2.0, 3)]
+    got = embedding_dedup.cluster(spark.createDataFrame(v, "vec_id long, embedding array<double>, node long, x double, links long"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {0: (0, 0), 1: (1, 1), 2: (0, 2), 3: (0, 3), 9: (1, 1)}
+    pages = spark.createDataFrame([(1, "u", "a" * 200, "p", 7), (2, "u", "a" * 200, "q", 8), (3, "u", "b" * 3_000_000, None, None)], "page_id long, url string, html string, payload_digest string, refers_to long")
+    warc.write(pages, f"file://{tmp_path}/w")
+    out = {r.id: (r.record_type, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/w").collect()}
+    assert out == {"<urn:twinscope:page:1>": ("response", 200), "<urn:twinscope:page:2>": ("revisit", 200), "<urn:twinscope:page:3>": ("response", 3_000_000)}
+    docs = spark.createDataFrame([(1, "w " * 100_000, "a", 1, 2, 3), (2, "w " * 50, "b", 1, 2, 3), (3, None, None, 1, 2, 3)], "doc_id long, text string, source string, target long, source_size long, position long")
+    mixed = {r.doc_id: (r.size, r.source_size) for r in source_mixing.assign(docs).collect()}
+    assert mixed == {1: (100_000, 100_000), 2: (50, 50), 3: (0, 0)}
