@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import codec
-from twinscope.operators import joins
+from twinscope.operators import joins, lineage
 from twinscope.operators.store import State
 
 
@@ -24,6 +24,8 @@ def vtables(tables: DataFrame, entities: DataFrame, key: str = "orig_addr") -> D
     n = F.least(F.size("orig_slots"), F.size("recomp_slots"))
     slots = tables.select(key, F.posexplode(F.slice(F.arrays_zip("orig_slots", "recomp_slots"), F.lit(1), n)).alias("index", "slot"))
     flat = slots.select(key, "index", F.col("slot.orig_slots").alias("o"), F.col("slot.recomp_slots").alias("r"))
+    # Looked up twice: what the table is made from need not be made twice.
+    entities = lineage.cut(entities.select("orig_addr", "recomp_addr", "name"))
     by_orig = entities.where("orig_addr is not null").select(F.col("orig_addr").alias("o"), F.struct("orig_addr", "recomp_addr", "name").alias("oe"))
     by_recomp = entities.where("recomp_addr is not null").select(F.col("recomp_addr").alias("r"), F.struct("orig_addr", "recomp_addr", "name").alias("re"))
     found = flat.join(by_orig, "o", "left").join(by_recomp, "r", "left")
