@@ -215,3 +215,9 @@ def test_whole_run(spark):
     assert {(r.orig_addr, r.accuracy) for r in out.report.collect()} == {("0x64", 1.0), ("0xc8", 0.5)}
     assert out.totals.first().functions == 2
     assert plan.functions(st, lines).where("diff is not null").count() == 1
+
+
+def test_overloads_by_arguments(spark):
+    st = state(spark, (0, 100, {"type": s.FUNCTION, "name": "f", "symbol": "?f@int"}), (0, 200, {"type": s.FUNCTION, "name": "f", "symbol": "?f@char"}), (0, 300, {"type": s.FUNCTION, "name": "f"}))
+    done = plan.names(st, lambda symbol: f"void f({symbol.rpartition('@')[2]})")
+    assert {r.addr: r.computed_name for r in done.entities.collect()} == {100: "f(int)", 200: "f(char)", 300: "f(3)"}

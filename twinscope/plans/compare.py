@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinscope import schema
 from twinscope.functions import entity
+from twinscope.functions import names as symbols
 from twinscope.operators import compare, diff, lineage, matchers, naming, reports, store, windows
 from twinscope.operators.store import State
 from twinscope.sources import annotations, reports_json
@@ -32,21 +33,23 @@ def sizes(img: int) -> Stage:
     return stage
 
 
-def names(state: State) -> State:
-    """Tell overloaded functions apart, and name what stands for others after them."""
-    own = lineage.cut(windows.unique_names(windows.overloaded(state.merged())))
+def names(state: State, demangle: Callable[[str], str | None] | None = None) -> State:
+    """Tell overloaded functions apart, by their arguments where a demangler finds them in
+    the symbol and else by number, and name what stands for others after them."""
+    arguments = None if demangle is None else symbols.arguments(symbols.demangled(F.col("symbol"), demangle))
+    own = lineage.cut(windows.unique_names(windows.overloaded(state.merged()), arguments))
     at = own.select(F.when(F.col("orig_addr").isNotNull(), schema.ORIG).otherwise(schema.RECOMP).alias("img"), F.coalesce("orig_addr", "recomp_addr").alias("addr"), "computed_name")
     state = state.upsert(store.delta(at, {"computed_name": F.col("computed_name")})).cut()
     found = lineage.cut(naming.thunk_names(lineage.cut(state.merged()), eager=True))
     return state.upsert(store.delta(found, {"name": F.col("name")}))
 
 
-def default_stages(debug_lines: DataFrame | None = None, truncate: bool = False) -> list[Stage]:
+def default_stages(debug_lines: DataFrame | None = None, truncate: bool = False, demangle: Callable[[str], str | None] | None = None) -> list[Stage]:
     """The matchers in the order of confidence, then sizes, references, and names."""
     stages: list[Stage] = [lambda s: matchers.symbols(s, truncate), lambda s: matchers.functions(s, truncate), matchers.vtables, matchers.static_variables, matchers.variables]
     if debug_lines is not None:
         stages.append(lambda s: matchers.lines(s, debug_lines))
-    return [*stages, matchers.imports, sizes(schema.ORIG), sizes(schema.RECOMP), matchers.references, names, matchers.strings]
+    return [*stages, matchers.imports, sizes(schema.ORIG), sizes(schema.RECOMP), matchers.references, lambda s: names(s, demangle), matchers.strings]
 
 
 def reconcile(state: State, stages: Sequence[Stage]) -> State:
