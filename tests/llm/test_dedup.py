@@ -181,3 +181,20 @@ def test_components(spark):
 def test_columns_that_clash(spark):
     docs = frame(spark, documents()).withColumn("fp", F.lit("x")).withColumn("_key", F.lit(1))
     assert simhash.cluster(docs).count() == len(documents())
+
+
+def test_trees_spare_comparisons(monkeypatch):
+    """A query within 4 bits sees under a quarter of a tree of 1024 unrelated fingerprints."""
+    rng, seen, plain = np.random.default_rng(1), [0], simhash._apart
+
+    def counting(a, b):
+        seen[0] += len(a)
+        return plain(a, b)
+
+    f = np.unique(rng.integers(0, 1 << 51, 1024, dtype=np.uint64)).reshape(-1, 1)
+    forest = simhash.Forest(np.zeros(len(f), np.int64), f)
+    monkeypatch.setattr(simhash, "_apart", counting)
+    q, n = forest.within(np.zeros(len(f), np.int64), f, 4)
+    assert seen[0] < len(f) ** 2 / 4
+    far = np.bitwise_count(f ^ f.T)
+    assert {(int(a), int(b)) for a, b in zip(q, n)} == {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= 4))}

@@ -18,8 +18,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     component's smallest node; that one is the root.
 
     Large-star and small-star steps alternate until nothing changes, a number of rounds
-    that grows with the logarithm of the size. Minima are aggregated before they are
-    joined, so a node with very many links is spread like any other rows.
+    that grows with the logarithm of the size. Minima are aggregated and written before
+    they are joined: they are broadcast while they are small, and else a node with very
+    many links is a skewed side of a join of two plain exchanges, which Spark splits.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = shared.stash(e, "links")
@@ -29,9 +30,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = shared.stash(least, "link-minima")
+        large = both.where("v > u").join(shared.if_small(least, 32), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = shared.stash(large, "links")
+        least = shared.stash(large.groupBy("u").agg(F.min("v").alias("m")), "link-minima")
+        small = large.join(shared.if_small(least, 32), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = shared.stash(small, "links")
         after = _signature(e)
         if after == before:

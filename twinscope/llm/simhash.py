@@ -195,7 +195,8 @@ def dealt(placed: DataFrame, shard_rows: int, share: Column | None = None) -> Da
     the rows' ``share`` says how much of a block they fill."""
     blocks = F.count("*") / shard_rows if share is None else F.greatest(F.count("*") / shard_rows, F.sum(share))
     crowded = placed.groupBy("shard").agg(F.ceil(blocks).cast("int").alias("parts")).where("parts > 1")
-    placed = placed.join(crowded, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Written first: few shards are, and a join that knows how few need not gather a shard's rows.
+    placed = placed.join(shared.if_small(shared.stash(crowded, "crowded-shards"), 32), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     # A row is in the tree of its own block for all later blocks of queries, and queries the trees of all earlier ones.
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -211,9 +212,9 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
     the square of their number."""
     n = nodes.count()
     if width == 1:
-        # Narrower shards for more fingerprints, so that an average shard stays small.
+        # As few keys a fingerprint as keep the average shard at a block, which its tree prunes.
         blocks = radius + 1
-        while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > 8:
+        while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > shard_rows:
             blocks += 1
         masks = [[m] for m in block_masks(blocks, radius)]
     else:
@@ -221,7 +222,12 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
     signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("f", F.lit(w)).bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m]) for i, mask in enumerate(signed)])
     placed = nodes.select("fp", "f", F.explode(keys).alias("shard"))
-    each = dealt(placed, shard_rows)
+    return search(dealt(placed, shard_rows), radius, width, shared.parts_for(nodes.sparkSession, n * len(signed), 1_000_000))
+
+
+def search(each: DataFrame, radius: int, width: int, parts: int) -> DataFrame:
+    """Links (a, b) that connect what is within ``radius`` of each other in a group of
+    dealt(), directly or through others: a BK-tree for each group, and its queries."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -251,7 +257,6 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 2048, width: int
         if held:
             yield links_of(held)
 
-    parts = shared.parts_for(nodes.sparkSession, n * len(signed), 1_000_000)
     return each.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(work, "a long, b long")
 
 
