@@ -104,14 +104,13 @@ def test_radius_holds_at_the_limit():
     assert max(far) < similar_sets.radius_for(0.8) - 10
 
 
-def test_hot_shingles(spark, monkeypatch):
-    monkeypatch.setattr(similar_sets, "HOT_ROWS", 32)
+def test_hot_shingles(spark):
     rng = random.Random(8)
     rows = [(i, " ".join([text(rng, 60), "a passage that all of these texts have in common and that makes some shingles hot", text(rng, 20)])) for i in range(60)]
     rows += [(100 + i, t + " end") for i, t in rows[:20]]
     got = {r.doc_id: r.component_id for r in similar_sets.cluster(frame(spark, rows)).collect()}
     assert [got[i] for i, _ in rows] == brute_components(rows)
-    assert similar_sets._hot(frame(spark, rows).select("text"), 5, 0.8).count() > 0
+    assert len(similar_sets.hot_shingles(frame(spark, rows).select("text"), 5)) > 5
 
 
 def test_keep_one_odd(spark):

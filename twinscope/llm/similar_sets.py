@@ -4,22 +4,24 @@ BK-trees find the pairs (see simhash), and every pair found is checked by its se
 
 Shards: fingerprints alone cannot be dealt into shards at such a similarity, since no bits
 of two of them need agree. Sets can: let a set of n shingles need a = ceil(similarity * n)
-of them in common with a partner. In the order of hashes, the first n - a + 1 of both
-sets then share one, and the first n - a + k of both share k. So a set lives on only if
-enough of its first shingles occur in other sets that live on, which leaves few but
-near-duplicates; those that share one of the first n - a + 1, directly or through others,
-are a shard. A crowd of more than ``shard_rows`` sets, or of more shingles than a block
-holds, is dealt over blocks that meet pairwise.
-
-Search: each group that meets has a BK-tree over fingerprints of WIDTH words, and a query
-follows the edges within the radius, six standard deviations above the bits in which two
-sets at the limit of the similarity are expected to differ (see radius_for): one pair in a
-billion is further apart. Sets of a tree that links have joined need no queries of their
-own, so a crowd of near copies is searched in a few.
-
-A shingle that very many texts have would bring all of them to one task: such shingles are
-known from a sample, and dealt over HOT_PARTS. The sample decides where rows meet, never
-which sets do.
+of them in common with a partner. In any one order of all shingles, the first n - a + 1
+of both sets then share one, and the first n - a + k of both share k. So a set lives on
+only if enough of its first shingles occur in other sets that live on, which leaves few
+but near-duplicates; and those that share one of the first n - a + 1 are a shard.
+Shingles that the same sets share are one shard; those that more than ``shard_rows`` sets
+share make one with all such that they share sets with.
+
+Search: each shard has a BK-tree over fingerprints of WIDTH words, and a query follows
+the edges within the radius, six standard deviations above the bits in which two sets at
+the limit of the similarity are expected to differ (see radius_for): one pair in a
+billion is further apart. What this links, directly or through others, meets with whole
+sets, once, and every link that counts is checked by them. A crowd of more than a block
+is dealt over blocks that meet pairwise; sets that links have joined need no queries of
+their own, so near copies are searched in a few.
+
+Order: shingles that very many texts have come last, so that texts which share but a
+common passage do not meet; where they do count, they are dealt over HOT_PARTS. They are
+known from a sample, which decides the order of work, never which sets are similar.
 
 Edge cases: shingles as in ``simhash``, told apart by 64 bits of hash; texts without words
 have one set, the empty one, and link with nothing but each other, by being equal.
@@ -42,11 +44,11 @@ WIDTH = 8
 #: Shingles of candidates that are compared at once.
 LISTED = 1 << 18
 #: Shingles of all sets of a block, and of the groups that are searched together.
-BLOCK_SHINGLES, STEP_SHINGLES = 1 << 19, 1 << 19
-#: Texts that a shingle has, by the sample, to be dealt over so many parts; the most such shingles.
-HOT_ROWS, HOT_PARTS, HOT_MOST = 20_000, 64, 10_000
-#: Bytes of texts in the sample.
-SAMPLE_BYTES = 64 << 20
+BLOCK_SHINGLES, STEP_SHINGLES = 1 << 20, 1 << 19
+#: Texts of the sample that a shingle is in to be hot; the most that are; parts that they are dealt over.
+HOT_ROWS, HOT_MOST, HOT_PARTS = 12, 100_000, 64
+#: The sample: bytes of text at least, and one in so many texts at least.
+SAMPLE_BYTES, SAMPLE_SHARE = 16 << 20, 1000
 #: Fingerprints of copies that a task remembers, to send their shingles once.
 SEEN = 1 << 17
 
@@ -81,6 +83,14 @@ def sets_of(data: np.ndarray, rows: np.ndarray, words: int) -> tuple[np.ndarray,
     return h[new], np.searchsorted(row[new], np.arange(len(rows)))
 
 
+def _hot_last(h: np.ndarray, off: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Each row's hashes in ascending order, those that are ``hot`` (ascending) last."""
+    if not len(hot) or not len(h):
+        return h
+    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+    return h[np.lexsort((is_hot, np.repeat(np.arange(len(off) - 1), np.diff(off))))]
+
+
 def _fp(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A long for each set that stands for it."""
     from xxhash import xxh64_intdigest
@@ -113,9 +123,9 @@ def prints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     return rows.mapInArrow(work, f"_key {kind}, fp long, n int").withColumnRenamed("_key", key)
 
 
-def first_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(fp, n, t): the first shingles of the sets of ``texts`` (one column). Copies in one
-    task are sent once."""
+def first_shingles(texts: DataFrame, words: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """(fp, n, t): the first shingles of the sets of ``texts`` (one column), or all of them
+    for a similarity of 0. Copies in one task are sent once."""
     shared.text_batches(texts.sparkSession)
 
     def work(batches: Iterator) -> Iterator:
@@ -132,17 +142,17 @@ def first_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame
                     seen.add(x)
                 if len(seen) > SEEN:
                     seen.clear()
-                most = np.where(fresh, _first(n, similarity), 0)
-                t = h[np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(most, n)].view(np.int64)
+                most = np.where(fresh, _first(n, similarity) if similarity else n, 0)
+                t = _hot_last(h, off, hot)[np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(most, n)].view(np.int64)
                 if len(t):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, most)), pa.array(np.repeat(n, most).astype(np.int32)), pa.array(t)], ["fp", "n", "t"])
 
     return texts.mapInArrow(work, "fp long, n int, t long")
 
 
-def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+def whole_sets(texts: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
     """(fp, n, f): the sets of ``texts`` (one column), each as its fingerprint's WIDTH words
-    and then all its shingles in ascending order."""
+    and then all its shingles in order."""
     shared.text_batches(texts.sparkSession)
 
     def work(batches: Iterator) -> Iterator:
@@ -157,7 +167,7 @@ def whole_sets(texts: DataFrame, words: int) -> DataFrame:
                 f = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
                 head = (ends - n - WIDTH)[:, None] + np.arange(WIDTH)
                 f[head] = wide
-                f[np.arange(len(h)) + np.repeat(np.arange(1, len(n) + 1) * WIDTH, n)] = h
+                f[np.arange(len(h)) + np.repeat(np.arange(1, len(n) + 1) * WIDTH, n)] = _hot_last(h, off, hot)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(f.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_fp(h, off)), pa.array(n.astype(np.int32)), lists], ["fp", "n", "f"])
 
@@ -216,9 +226,9 @@ def group_links(group: np.ndarray, off: np.ndarray, f: np.ndarray, similarity: f
                 i, js = q[a], other[a:b]
                 js = js[parent[js] != parent[i]]
                 if len(js):
-                    mine, m = f[off[i] + WIDTH : off[i + 1]], size[js]
+                    mine, m = np.sort(f[off[i] + WIDTH : off[i + 1]]), size[js]
                     theirs = f[np.repeat(off[js] + WIDTH - (np.cumsum(m) - m), m) + np.arange(m.sum())]
-                    place = np.minimum(np.searchsorted(mine.view(np.uint64), theirs.view(np.uint64)), max(0, len(mine) - 1))
+                    place = np.minimum(np.searchsorted(mine, theirs), max(0, len(mine) - 1))
                     common = np.bincount(np.repeat(np.arange(len(js)), m)[mine[place] == theirs] if len(mine) else np.zeros(0, np.int64), minlength=len(js))
                     hit = js[(common > 0) & (common >= similarity * (size[i] + m - common) - EPS)]
                     graph.unite(parent, np.full(len(hit), i), hit)
@@ -235,15 +245,33 @@ def _alive(first: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
     return have.where(F.col("have") >= F.greatest(least - _need(least, similarity), F.lit(1))).select("fp")
 
 
-def _hot(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(t, hot): the shingles that very many sets have among their first, by a sample of
-    the texts; HOT_MOST at most, by which a table of them may be broadcast."""
+def hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """The shingles that very many sets have, by a sample of the texts, ascending; HOT_MOST
+    at most, by which they may be sent to all tasks."""
     text = texts.columns[0]
     size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    one_in = max(1, size // SAMPLE_BYTES)
-    some = first_shingles(texts.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0), words, similarity)
-    often = some.groupBy("t").count().where(F.col("count") >= max(32, HOT_ROWS // one_in)).orderBy(F.desc("count"), "t").limit(HOT_MOST).collect()
-    return texts.sparkSession.createDataFrame([(r.t, True) for r in often], "t long, hot boolean")
+    one_in = max(1, min(size // SAMPLE_BYTES, SAMPLE_SHARE))
+    some = first_shingles(texts.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0), words, 0.0, np.zeros(0, np.uint64))
+    often = some.groupBy("t").count().where(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "t").limit(HOT_MOST)
+    return np.sort(often.toArrow()["t"].to_numpy().view(np.uint64))
+
+
+def _shards(nodes: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
+    """(fp, shard): the sets of ``nodes`` (fp, n, f) that meet. Sets that share one of
+    their first shingles share a shard."""
+    first = F.slice("f", F.lit(WIDTH + 1), F.col("n") - _need(F.col("n"), similarity) + 1)
+    first = shared.stash(nodes.select("fp", F.explode(first).alias("t")), "first-shingles")
+    # Who shares a shingle, told by hashes over all of them, which tasks combine.
+    who = first.groupBy("t").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.min("fp").alias("least"))
+    who = shared.stash(who.where("sets > 1"), "shared-shingles")
+    few, many = (who.where(F.col("sets") <= shard_rows), who.where(F.col("sets") > shard_rows))
+    placed = first.join(shared.if_small(few.select("t", F.xxhash64("sets", "x", "y").alias("shard")), 32), "t").select("fp", "shard").distinct()
+    if many.isEmpty():
+        return placed
+    stars = first.join(shared.if_small(many.select("t", "least"), 32), "t").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    roots = graph.components(stars)
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return placed.unionByName(roots.select(F.col("node").alias("fp"), F.xxhash64(F.lit("crowd"), "root").alias("shard")))
 
 
 def links(docs: DataFrame, printed: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, shard_rows: int = 2048) -> DataFrame:
@@ -251,31 +279,32 @@ def links(docs: DataFrame, printed: DataFrame, text: str = "text", key: str = "d
     through others; ``printed`` are the rows of prints()."""
     spark = docs.sparkSession
     texts = docs.select(text)
-    hot = _hot(texts, words, similarity)
-    alive = shared.stash(_alive(first_shingles(texts, words, similarity), hot, similarity), "alive-keys")
+    last = hot_shingles(texts, words)
+    hot = spark.createDataFrame([(t, True) for t in last.view(np.int64).tolist()], "t long, hot boolean")
+    alive = shared.stash(_alive(first_shingles(texts, words, similarity, last), hot, similarity), "alive-keys")
     shared.free_shuffles(spark)
     # One text for each set that lives on; a key may have more than one, of which the others go again.
     named = printed.join(shared.if_small(alive), "fp", "left_semi").groupBy("fp").agg(F.min(key).alias("_key")).select("_key").distinct()
     named = shared.if_small(shared.stash(named, "alive-rows"))
     chosen = docs.join(named, F.col(key) == F.col("_key"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    nodes = whole_sets(chosen.select(text), words).join(shared.if_small(alive), "fp", "left_semi").dropDuplicates(["fp"])
+    nodes = whole_sets(chosen.select(text), words, last).join(shared.if_small(alive), "fp", "left_semi").dropDuplicates(["fp"])
     nodes = shared.stash(nodes, "alive-sets")
     shared.free_shuffles(spark)
-    shingles = lambda most: F.explode(F.slice("f", F.lit(WIDTH + 1), most))
     before = nodes.count()
     while before:  # fewer sets share fewer shingles
-        again = _alive(nodes.select("fp", "n", shingles(_first(F.col("n"), similarity)).alias("t")), hot, similarity)
-        again = shared.stash(again, "alive-keys")
+        first = F.explode(F.slice("f", F.lit(WIDTH + 1), _first(F.col("n"), similarity)))
+        again = shared.stash(_alive(nodes.select("fp", "n", first.alias("t")), hot, similarity), "alive-keys")
         left = again.count()
         nodes = nodes.join(shared.if_small(again, rows=left), "fp", "left_semi")
         if left > 0.9 * before:
             break
         before = left
-    first = nodes.select("fp", shingles(F.col("n") - _need(F.col("n"), similarity) + 1).alias("t")).join(F.broadcast(hot), "t", "left")
-    # What shares a shingle hangs on one of its sets; on the shingle itself, if very many do.
-    centre = F.min("fp").over(Window.partitionBy("t", F.when(F.col("hot"), F.pmod("fp", F.lit(HOT_PARTS)))))
-    stars = first.select(F.when(F.col("hot"), F.col("t")).otherwise(centre).alias("a"), F.col("fp").alias("b"))
-    roots = graph.components(stars).withColumnRenamed("node", "fp").withColumnRenamed("root", "shard")
+    # By fingerprints alone, which are small, to what may be similar; then by whole sets.
+    prints_ = nodes.select("fp", F.slice("f", 1, WIDTH).alias("f"))
+    placed = _shards(nodes, similarity, shard_rows).join(shared.if_small(prints_, 100, before), "fp")
+    near = simhash.search(simhash.dealt(placed, shard_rows), radius_for(similarity), WIDTH, shared.parts_for(spark, before, 20_000))
+    roots = graph.components(near).withColumnRenamed("node", "fp").withColumnRenamed("root", "shard")
+    shared.free_shuffles(spark)
     shards = shared.stash(roots.unionByName(roots.select(F.col("shard").alias("fp"), "shard").distinct()), "set-shards")
     total = shards.count()
     placed = nodes.join(shared.if_small(shards, rows=total), "fp")
