@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one and equal vectors become one node with a count. Cells
 come from spherical k-means on a bounded sample; each vector goes to the cell of its
-nearest centre, and cells are dealt into blocks of at most ``block`` vectors.
+nearest centre, and cells are dealt into blocks of about ``block`` vectors, which bound
+what a task holds: a vector is sent as often as there are blocks of cells near it.
 
 Two vectors with a cosine of at least ``threshold`` are at most r = sqrt(2 - 2 t) apart.
 For cells c and d, the plane half way between their centres lies between any x of c and
@@ -57,7 +58,7 @@ def _floats(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def block_links(x: np.ndarray, y: np.ndarray | None, n_x: np.ndarray, n_y: np.ndarray | None, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_links(x: np.ndarray, y: np.ndarray | None, n_x: np.ndarray, n_y: np.ndarray | None, threshold: float, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links of each row, counting ``n`` copies for a row; a, b): links within ``x`` if
     ``y`` is None, else between the two; a[i] and b[i] number rows of x, then of y, and
     join all that links connect."""
@@ -95,7 +96,7 @@ def block_links(x: np.ndarray, y: np.ndarray | None, n_x: np.ndarray, n_y: np.nd
     return links, apart, parent[apart]
 
 
-def cluster(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.9, block: int = 4096, max_cells: int = 256, sample: int = 20_000) -> DataFrame:
+def cluster(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = 0.9, block: int = 16_384, max_cells: int = 256, sample: int = 20_000) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
     Centres are fitted on the ``sample`` vectors (about) with the smallest hashes; there
@@ -158,32 +159,44 @@ def cluster(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id",
     for c in sorted(parts_of):
         first[c], total = total, total + parts_of[c]
 
+    n_parts = np.array([parts_of.get((usual, c), 0) for c in range(len(centres))], np.int64)
+    at_part = np.array([first.get((usual, c), 0) for c in range(len(centres))], np.int64)
+    # Of cells c and e: the least distance of any vector of e to the plane between them.
+    gaps = np.array([[max(0.0, least.get((usual, e, c), 0.0)) for e in range(len(centres))] for c in range(len(centres))])
+
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             ds, cells_ = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            far = batch.column(5).to_pylist()
-            nodes_ = batch.column(0)
-            salt = shared.mix(np.array([hash(v) & ((1 << 63) - 1) for v in nodes_.to_pylist()], np.uint64))
-            index, left, right, side = [], [], [], []
-            for i, (d, c) in enumerate(zip(ds.tolist(), cells_.tolist())):
-                own = first[d, c] + int(salt[i] % np.uint64(parts_of[d, c]))
-                other = [own]
-                for e in range(first[d, c], first[d, c] + parts_of[d, c]):
-                    if e != own:
-                        other.append(e)
-                for e, f in enumerate(far[i]):
-                    if e != c and (d, e) in first and f + max(0.0, least.get((d, e, c), 0.0)) <= reach:
-                        other += range(first[d, e], first[d, e] + parts_of[d, e])
-                index += [i] * len(other)
-                left += [min(own, o) for o in other]
-                right += [max(own, o) for o in other]
-                side += [0 if own <= o else 1 for o in other]
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(side, pa.int32()), nodes_.take(take), batch.column(1).take(take), batch.column(2).take(take)], ["a", "b", "side", "node", "n", "x"])
-
-    dealt = placed.mapInArrow(deal, f"a int, b int, side int, node {kind}, n long, x array<double>")
+            salt = batch.column(6).to_numpy().view(np.uint64)
+            rows_, own_, others = [], [], []
+            for d in np.unique(ds).tolist():
+                part = np.flatnonzero(ds == d)
+                c = cells_[part]
+                size = n_parts[c] if d == usual else np.array([parts_of[d, x] for x in c.tolist()])
+                begin = at_part[c] if d == usual else np.array([first[d, x] for x in c.tolist()])
+                own = begin + (salt[part] % size.astype(np.uint64)).astype(np.int64)
+                if d == usual:
+                    far = batch.column(5).take(pa.array(part)).flatten().to_numpy().reshape(len(part), -1)
+                    near = (far + gaps[c] <= reach) & (n_parts > 0)
+                    near[np.arange(len(part)), c] = True
+                    i, e = np.nonzero(near)
+                    many, begin = n_parts[e], at_part[e]
+                else:
+                    i, many = np.arange(len(part)), size
+                # Each row goes to all blocks of the cells that are near, its own among them.
+                rows_.append(part[np.repeat(i, many)])
+                own_.append(np.repeat(own[i], many))
+                others.append(np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+            index, own, other = (np.concatenate(x) for x in (rows_, own_, others))
+            take = pa.array(index)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(own, other).astype(np.int32)), pa.array(np.maximum(own, other).astype(np.int32)), pa.array((own > other).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)],
+                ["a", "b", "side", "node", "n", "x"],
+            )
+
+    dealt = placed.withColumn("salt", F.xxhash64("node")).mapInArrow(deal, f"a int, b int, side int, node {kind}, n long, x array<double>")
 
     def multiply(pairs):
         import pyarrow as pa
@@ -210,6 +223,9 @@ def cluster(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id",
     roots = graph.components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     about = nodes.join(direct, "node", "left").join(roots, "node", "left")
     about = about.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    keyed = marked.select("id", F.when(F.col("ok"), F.col("v")).alias("v"))
-    out = keyed.join(about, "v", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    # Written first: both sides of the join are then plain exchanges, of which Spark splits what a common vector fills.
+    about = shared.stash(about, "about-vectors")
+    known = marked.where("ok").select("id", "v").join(about, "v").select("id", "n_links", "component_id")
+    lone = marked.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = known.unionByName(lone).withColumnRenamed("id", key)
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
