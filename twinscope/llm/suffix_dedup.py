@@ -308,8 +308,10 @@ def spans_of_repeats(rows: DataFrame, length: int, gram: int, crowd: int, small:
         kinds = found.groupBy("g", "r", "s").agg(number.alias("n"), F.min(F.struct("name", "th", "base", "lo", "hi")).alias("one"), F.max("again").alias("again"))
         if not whole:
             size = F.sum(F.col("one.hi") - F.col("one.lo") + length)
+            # Both sides of the join are written first, so that Spark can split what a common minimiser fills.
+            kinds = shared.stash(kinds, "all-kinds")
             sizes = kinds.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), size.alias("bytes"), F.max("again").alias("self")).where("total > 1 or self")
-            kinds = kinds.join(sizes, "g")
+            kinds = kinds.join(shared.stash(sizes, "minimisers"), "g")
         kinds = shared.stash(kinds, "region-kinds")
         equal = kinds.where("n > 1").select("g", "r", "s")
         ranges.append(found.join(equal, ["g", "r", "s"]).select("name", "th", "lo", "hi"))
