@@ -71,3 +71,9 @@ def usable(symbols: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
 def first_uses(symbols: DataFrame) -> DataFrame:
     """The first symbol of each address, and folded functions."""
     return windows.first_unless(symbols, ("module", "offset"), ("path", "seq"), F.col("is_folded"))
+
+
+def failed(alerts: DataFrame, warnings_too: bool = False) -> bool:
+    """Whether a run of the linter fails: on errors, or on warnings too if asked for."""
+    found = counts(alerts).first()
+    return bool(found.errors or (warnings_too and found.warnings))

@@ -62,7 +62,10 @@ def leftover(all_modules: DataFrame, order: DataFrame) -> DataFrame:
     return all_modules.join(order.select("module"), "module", "left_anti")
 
 
-def as_text(road: DataFrame) -> DataFrame:
+def as_text(road: DataFrame, matched_only: bool = False) -> DataFrame:
+    """Rows as lines of a listing, all or those that both images have."""
+    if matched_only:
+        road = road.where(F.col("orig_addr").isNotNull() & F.col("recomp_addr").isNotNull())
     address = lambda c: F.coalesce(codec.to_hex(F.col(c)), F.lit(""))
     return road.select(F.concat_ws("  ", F.rpad(F.coalesce("orig_place", F.lit("")), 14, " "), F.rpad(F.coalesce("recomp_place", F.lit("")), 14, " "), F.rpad(address("orig_addr"), 10, " "), F.rpad(address("recomp_addr"), 10, " "), F.lpad(F.coalesce(F.col("displacement").cast("string"), F.lit("")), 8, " "), "row_type", F.coalesce("name", F.lit(""))).alias("line"))
 

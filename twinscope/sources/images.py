@@ -296,6 +296,18 @@ def to_address(rows: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(numbered.select("path", "section", F.col("addr").alias("_start")), ["path", "section"], "left").withColumn("addr", F.col("_start") + F.col("offset")).drop("_start")
 
 
+def to_section(rows: DataFrame, addresses: DataFrame, addr: str = "addr") -> DataFrame:
+    """addresses (path, addr) with their section, from 1, and offset in it; null outside of
+    all sections."""
+    from pyspark.sql import Window
+
+    from twinscope.operators import joins
+
+    ranges = rows.where("kind = 'section'").withColumn("section", F.row_number().over(Window.partitionBy("path").orderBy("addr"))).select("path", F.col("addr").alias(addr), "size", "section")
+    found = joins.interval_join(addresses, ranges, addr, ("path",), start=addr, columns=("section",))
+    return found.select(*addresses.columns, "section", F.when(F.col("section").isNotNull(), F.col(addr) - F.col("base")).alias("offset"))
+
+
 def regions(rows: DataFrame, need: int, without: int = 0) -> DataFrame:
     """Sections with all of some flags and none of others."""
     s = rows.where("kind = 'section'")
