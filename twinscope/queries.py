@@ -176,12 +176,12 @@ def match_references(spark, sf_dir):
     return matchers.references(_tree(spark, sf_dir)).matches
 
 
-@query()
+@query(f"WITH o AS (SELECT p_partkey * 16 + {BASE} + 8 AS addr, p_name AS n, p_brand AS b, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS rn FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey * 16 + {BASE} AS addr, p_name AS n, p_brand AS b, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS rn FROM part WHERE p_partkey % 2 = 1) SELECT o.addr AS orig_addr, r.addr AS recomp_addr FROM o JOIN r USING (n, b, rn)")
 def match_static_variables(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     k, side = F.col("p_partkey"), F.col("p_partkey") % 2
     parents = p.select(F.lit(0).alias("img"), (k * 16 + BASE).alias("addr"), F.lit(schema.FUNCTION).alias("type"), F.concat(F.lit("?"), F.translate("p_name", " ", "_"), F.lit("@")).alias("symbol"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("static_var"), F.lit(None).cast("long").alias("parent_function"))
-    owned = p.where(side == 0).select(F.lit(0).alias("img"), (k * 16 + BASE + 8).alias("addr"), F.lit(schema.DATA).alias("type"), F.lit(None).cast("string").alias("symbol"), F.col("p_brand").alias("name"), F.lit(True).alias("static_var"), (k * 16 + BASE).alias("parent_function"))
+    owned = p.where(side == 0).select(F.lit(0).alias("img"), (k * 16 + BASE + 8).alias("addr"), F.lit(schema.DATA).alias("type"), F.lit(None).cast("string").alias("symbol"), F.concat("p_brand", F.lit("@")).alias("name"), F.lit(True).alias("static_var"), (k * 16 + BASE).alias("parent_function"))
     others = p.where(side == 1).select(F.lit(1).alias("img"), (k * 16 + BASE).alias("addr"), F.lit(schema.DATA).alias("type"), F.concat(F.lit("?"), "p_brand", F.lit("@?1?"), F.translate("p_name", " ", "_"), F.lit("@")).alias("symbol"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("static_var"), F.lit(None).cast("long").alias("parent_function"))
     return matchers.static_variables(State.of(spark, parents.unionByName(owned).unionByName(others))).matches
 

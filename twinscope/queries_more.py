@@ -13,6 +13,7 @@ from twinscope import schema
 from twinscope.functions import codec, display, entity, names
 from twinscope.operators import compare, completion, export, layout, lines, lint, matchers, naming, normalise, reports, roadmap, startup
 from twinscope.operators.store import State
+from twinscope.plans import listings
 from twinscope.queries import _NAMES, BASE, ENT, query, samples, state, table, _REP
 from twinscope.sources import annotations, images, symbol_dump
 
@@ -503,3 +504,22 @@ def start_up_pairs_once(spark, sf_dir):
     rows = o.select(F.concat(F.lit("L"), F.col("o_custkey") % 40).alias("list"), (k % 2).cast("int").alias("img"), k.alias("func_addr"), F.floor(F.col("o_custkey") / 40).alias("used"), F.lit(True).alias("is_write"), k.alias("seq"))
     found = naming.eliminate(rows, "list")
     return found.agg((F.count("*") == F.count_distinct("orig_addr")) & (F.count("*") == F.count_distinct("recomp_addr"))).toDF("once")
+
+
+_STACK = "l AS (SELECT DISTINCT l_orderkey AS k, 'ebp' AS r1, -CAST(l_partkey % 64 AS BIGINT) AS o1, CASE WHEN l_suppkey % 2 = 0 THEN 'ebp' ELSE 'esp' END AS r2, CAST(l_suppkey % 64 AS BIGINT) AS o2 FROM lineitem)"
+
+
+@query(f"WITH {_STACK}, s AS (SELECT k, 'orig' AS side, r1 AS register, o1 AS o, r1 = r2 AND o1 = o2 AS same FROM l UNION ALL SELECT k, 'recomp', r2, o2, r1 = r2 AND o1 = o2 FROM l) SELECT k AS orig_addr, side, register, o AS \"offset\", CASE WHEN count(*) <> 1 THEN 'ERROR' WHEN bool_and(same) THEN 'CHECK' ELSE 'SWAP' END AS mark FROM s GROUP BY k, side, register, o")
+def stack_listing(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    a = F.concat(F.lit("mov eax, dword ptr [ebp - "), codec.to_hex(F.col("l_partkey") % 64), F.lit("]"))
+    b = F.concat(F.lit("mov eax, dword ptr ["), F.when(F.col("l_suppkey") % 2 == 0, "ebp").otherwise("esp"), F.lit(" + "), codec.to_hex(F.col("l_suppkey") % 64), F.lit("]"))
+    blocks = items.select(F.col("l_orderkey").alias("orig_addr"), F.xxhash64(*items.columns).alias("block"), F.array(a).alias("orig"), F.array(b).alias("recomp"))
+    return listings.stacks(blocks).select("orig_addr", "side", "register", "offset", "mark")
+
+
+@query("SELECT DISTINCT o_custkey * 7 AS addr, CAST(n_nationkey + 1 AS INTEGER) AS section, CASE WHEN n_nationkey IS NOT NULL THEN o_custkey * 7 - n_nationkey * 1000 END AS \"offset\" FROM orders LEFT JOIN nation ON o_custkey * 7 >= n_nationkey * 1000 AND o_custkey * 7 < n_nationkey * 1000 + 600")
+def section_places(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lit("a").alias("path"), F.lit("section").alias("kind"), (F.col("n_nationkey").cast("long") * 1000).alias("addr"), F.lit(600).cast("long").alias("size"))
+    places = table(spark, sf_dir, "orders").select(F.lit("a").alias("path"), (F.col("o_custkey") * 7).alias("addr")).distinct()
+    return images.to_section(n, places).select("addr", F.col("section").cast("int").alias("section"), "offset")
