@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.engine.test_store import pairs, state
 from twinscope import schema as s
-from twinscope.operators import completion, export, lines, reports, roadmap, startup
+from twinscope.operators import completion, export, lines, naming, reports, roadmap, startup
 from twinscope.plans import project
 from twinscope.sources import headers
 
@@ -69,6 +69,16 @@ def test_start_up_match(spark):
     assert {(r.img, r.addr, r.type, r.name) for r in st.entities.where("img = 0").collect()} == {(0, a, s.FUNCTION, n) for a, n in ((500, "$CRT_CPP_Initializer"), (516, "$CRT_CPP_Initializer"), (600, "$CRT_CPP_Initializer"), (950, "$CRT_C_Terminator"))}
 
 
+def test_fingerprints(spark):
+    code = [
+        (0, 1, 10, "mov", "dword ptr [0x400000], eax"), (0, 1, 11, "mov", "byte ptr [0x400004], byte ptr [0x400008]"), (0, 1, 12, "add", "dword ptr [0x400000], 1"), (0, 1, 13, "jmp", "0x400008"), (0, 1, 14, "fstp", "dword ptr [0x40000c]"),
+        (0, 1, 15, "push", "0x999999"), (0, 1, 16, "ret", ""), (0, 1, 17, "mov", "dword ptr [0x400008], eax"), (0, 2, 30, "mov", "eax, dword ptr [0x40]"),
+    ]
+    known = spark.createDataFrame([(0, a, a + 1) for a in (0x400000, 0x400004, 0x400008, 0x40000C)], "img int, addr long, orig_addr long")
+    found = naming.fingerprints(spark.createDataFrame(code, "img int, func_addr long, addr long, mnemonic string, op_str string"), known)
+    assert [(r.used - 1, r.is_write) for r in found.orderBy("seq").collect()] == [(0x400000, True), (0x400004, True), (0x400008, False), (0x400000, False), (0x40000C, True)]
+
+
 def test_headers(spark):
     dos = struct.pack("<2s29HI", b"MZ", *range(29), 64)
     assert headers.mz(dos)["lfanew"] == 64 and headers.mz(dos)["ovno"] == 12

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinscope import schema
 from twinscope.functions import entity
 from twinscope.operators import lineage
+from twinscope.operators.normalise import JUMPS
 
 DEPTH = 10
 
@@ -95,14 +96,17 @@ def thunks_of_matched(pairs: DataFrame, thunks: DataFrame) -> DataFrame:
 
 def fingerprints(instructions: DataFrame, matched_data: DataFrame) -> DataFrame:
     """(img, func_addr, used, is_write, seq): the matched data that each function's code
-    up to its first return refers to, as original addresses.
+    up to its first return refers to, as original addresses, in the order of use. Only
+    what a move or a store puts its result into is written; jumps use nothing.
 
     ``instructions``: img, func_addr, addr, mnemonic, op_str; ``matched_data``: img, addr, orig_addr.
     """
-    ends = instructions.where(F.col("mnemonic").startswith("ret")).groupBy("img", "func_addr").agg(F.min("addr").alias("stop"))
-    body = instructions.join(ends, ["img", "func_addr"], "left").where(F.col("stop").isNull() | (F.col("addr") <= F.col("stop")))
-    operands = body.select("img", "func_addr", F.col("addr").alias("seq"), F.posexplode(F.split("op_str", ", ")).alias("nth", "operand"), "mnemonic")
-    used = operands.withColumn("hex", F.explode(F.regexp_extract_all("operand", F.lit("0x([0-9a-f]{6,8})"), 1)))
-    write = (F.col("nth") == 0) & F.col("operand").startswith("dword ptr") & F.col("mnemonic").isin("mov", "add", "sub", "or", "and", "xor", "inc", "dec")
-    at = used.select("img", "func_addr", "seq", F.conv("hex", 16, 10).cast("long").alias("addr"), write.alias("is_write"))
+    ends = instructions.where("mnemonic = 'ret'").groupBy("img", "func_addr").agg(F.min("addr").alias("stop"))
+    body = instructions.join(ends, ["img", "func_addr"], "left").where((F.col("stop").isNull() | (F.col("addr") <= F.col("stop"))) & ~F.col("mnemonic").isin(*JUMPS))
+    stores = F.col("mnemonic").isin("mov", "fstp")
+    sides = F.when(stores, F.split("op_str", ", ", 2)).otherwise(F.array("op_str"))
+    operands = body.select("img", "func_addr", "addr", stores.alias("stores"), F.posexplode(sides).alias("nth", "operand"))
+    used = operands.select("img", "func_addr", "addr", "stores", "nth", F.posexplode(F.regexp_extract_all("operand", F.lit("0x([0-9a-f]{6,8})"), 1)).alias("k", "hex"))
+    order = F.col("addr") * 16 + F.col("nth") * 8 + F.col("k")
+    at = used.select("img", "func_addr", order.alias("seq"), F.conv("hex", 16, 10).cast("long").alias("addr"), (F.col("stores") & (F.col("nth") == 0)).alias("is_write"))
     return at.join(matched_data, ["img", "addr"]).select("img", "func_addr", F.col("orig_addr").alias("used"), "is_write", "seq")

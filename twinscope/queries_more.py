@@ -15,7 +15,7 @@ from twinscope.operators import compare, completion, export, layout, lines, lint
 from twinscope.operators.store import State
 from twinscope.plans import listings
 from twinscope.queries import _NAMES, BASE, ENT, query, samples, state, table, _REP
-from twinscope.sources import annotations, images, symbol_dump
+from twinscope.sources import annotations, images, reports_json, symbol_dump
 
 # Symbol dumps
 
@@ -523,3 +523,120 @@ def section_places(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.lit("a").alias("path"), F.lit("section").alias("kind"), (F.col("n_nationkey").cast("long") * 1000).alias("addr"), F.lit(600).cast("long").alias("size"))
     places = table(spark, sf_dir, "orders").select(F.lit("a").alias("path"), (F.col("o_custkey") * 7).alias("addr")).distinct()
     return images.to_section(n, places).select("addr", F.col("section").cast("int").alias("section"), "offset")
+
+
+# Reports, lint and roadmap
+
+_EFFECTIVE = "CASE WHEN is_effective_match THEN 1.0 ELSE accuracy END"
+
+
+@query(f"WITH {_REP} SELECT orig_addr, name || ' (' || orig_addr || ' / ' || coalesce(recomp_addr, 'n/a') || ') is ' || CASE WHEN is_stub THEN 'stub' ELSE printf('%.2f%%', 100 * {_EFFECTIVE}) || CASE WHEN is_effective_match THEN '*' ELSE '' END END || ' similar to the original' AS line FROM rep")
+def one_line_matches(spark, sf_dir):
+    return reports_json.one_line(samples(spark, sf_dir))
+
+
+@query(f"WITH {_REP} SELECT sample_id, orig_addr FROM rep WHERE NOT (CAST(substr(name, 2) AS BIGINT) % 10 = 3) AND NOT coalesce(type = 5, FALSE)")
+def rows_without_ignored(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("library", F.coalesce(F.col("type") == 5, F.lit(False)))
+    ignored = rows.select("name").distinct().where(F.substring("name", 2, 20).cast("long") % 10 == 3)
+    return reports.without(rows, ignored, libraries=False).select("sample_id", "orig_addr")
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    path = F.concat(F.lit("src/"), "p_brand", F.when(k % 3 == 0, ".h").otherwise(".cpp"))
+    return p.select(path.alias("path"), k.alias("line_number"), F.lit("function").alias("kind"), (F.col("p_size") % 2 == 0).alias("lookup_by_name"), F.col("p_name").alias("name"), F.col("p_type").alias("module"), (k * 16).alias("offset"), F.lit(False).alias("is_folded"), k.alias("seq"))
+
+
+@query("SELECT CAST(109 AS INTEGER) AS code, 'src/' || p_brand || '.cpp' AS path, p_partkey AS line_number, p_name AS detail, p_type AS target FROM part WHERE p_partkey % 3 <> 0 AND p_size % 2 = 0")
+def by_name_alerts(spark, sf_dir):
+    return lint.by_name_outside_headers(_symbols(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS line_number, p_size > 10 AS usable FROM part")
+def usable_symbols(spark, sf_dir):
+    good, bad = lint.usable(_symbols(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_number"), "p_size"), "line_number"), F.col("p_size") > 10)
+    return good.select("line_number", F.lit(True).alias("usable")).unionByName(bad.select("line_number", F.lit(False).alias("usable")))
+
+
+@query("SELECT p_partkey, 'CMakeFiles/' || p_type || '.dir/' AS prefix, 'src/' || replace(p_name, ' ', '_') || '.cpp' AS short FROM part")
+def module_names(spark, sf_dir):
+    module = F.concat(F.lit("CMakeFiles/"), "p_type", F.lit(".dir/src/"), F.translate("p_name", " ", "_"), F.lit(".cpp.obj"))
+    return table(spark, sf_dir, "part").select("p_partkey", roadmap.module_prefix(module).alias("prefix"), roadmap.short_name(module).alias("short"))
+
+
+@query("SELECT event_type AS event, CASE event_type WHEN 'click' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS n FROM events GROUP BY 1, 2")
+def event_severities(spark, sf_dir):
+    name = F.when(F.col("event_type") == "click", matchers.NO_MATCH).when(F.col("event_type") == "view", matchers.AMBIGUOUS_MATCH).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("event"), matchers.severity(name).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT 's' || l_suppkey % 50 AS module, l_partkey * 16 + 4096 AS a, l_partkey * 16 + 4096 + l_suppkey AS r FROM lineitem), s AS (SELECT *, avg(a) OVER w AS mean, stddev_pop(a) OVER w AS dev, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY module))
+ SELECT x.module, x.mean, y.earliest, y.moved AS mean_displacement FROM (SELECT module, CAST(trunc(avg(a)) AS BIGINT) AS mean FROM s WHERE n = 1 OR abs(a - mean) <= 2 * dev GROUP BY 1) x JOIN (SELECT module, min(a) AS earliest, CAST(trunc(avg(r - a)) AS BIGINT) AS moved FROM m GROUP BY 1) y USING (module)""")
+def module_order(spark, sf_dir):
+    a = F.col("l_partkey") * 16 + 4096
+    road = table(spark, sf_dir, "lineitem").select(F.lit("fun").alias("row_type"), F.concat(F.lit("s"), F.col("l_suppkey") % 50).alias("module"), a.alias("orig_addr"), F.col("l_suppkey").alias("displacement"), F.lit(None).cast("string").alias("lib"))
+    return roadmap.module_order(road, "fun").select("module", "mean", "earliest", "mean_displacement")
+
+
+@query("SELECT p_partkey * 16 + 8192 AS orig_addr, p_partkey * 16 + 8192 + p_size AS recomp_addr, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) END AS displacement, '0001:' || lpad(upper(to_hex(p_partkey * 16 + 4096)), 8, '0') AS orig_place, 'obj' || (p_partkey * 16 + 8192 + p_size - 4096) // 4096 AS module FROM part")
+def roadmap_rows(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    matches = p.select((k * 16 + 8192).alias("orig_addr"), (k * 16 + 8192 + F.col("p_size")).alias("recomp_addr"), F.lit(schema.FUNCTION).alias("type"), F.col("p_name").alias("name"), (k % 2).alias("half"))
+    # Sections of one name where keys are even, of different names where they are odd.
+    sections = lambda same: spark.createDataFrame([(0, 1, 4096, 1 << 40, "a"), (1, 1, 4096, 1 << 40, "a" if same else "b")], "img int, section_id int, start long, stop long, name string")
+    span = spark.range(p.count() // 256 + 4)
+    contributions = span.select((F.col("id") * 4096 + 4096).alias("start"), F.lit(4096).cast("long").alias("size"), F.col("id").alias("module"))
+    modules = span.select(F.col("id").cast("int").alias("id"), F.concat(F.lit("obj"), "id").alias("obj"), F.lit(None).cast("string").alias("lib"))
+    found = [roadmap.rows(matches.where(F.col("half") == i).drop("half"), sections(i == 0), contributions, modules) for i in (0, 1)]
+    return found[0].unionByName(found[1]).select("orig_addr", "recomp_addr", "displacement", "orig_place", "module")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 5 AS INTEGER) AS blocks FROM orders")
+def diff_block_counts(spark, sf_dir):
+    lines_ = F.array(F.array(F.lit("0x1"), F.lit("nop")))
+    none = F.lit(None).cast("array<array<string>>")
+    block = lambda i: F.struct(F.when(i % 2 == 0, lines_).otherwise(none).alias("both"), F.when(i % 2 == 1, lines_).otherwise(none).alias("orig"), none.alias("recomp"))
+    groups = F.transform(F.sequence(F.lit(0), (F.col("o_custkey") % 5 * 2).cast("int")), block)
+    diff_ = F.array(F.struct(F.lit("@@").alias("slug"), groups.alias("groups")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", reports.diff_blocks(diff_).cast("int").alias("blocks"))
+
+
+# Places and pointers
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, (l_partkey = 0 AND l_suppkey = 0) OR (l_partkey // 8 = l_suppkey // 8 AND l_partkey % 8 = l_suppkey % 8) AS pointer_equal FROM lineitem")
+def equal_pointers(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    # Matches at every eighth address; a pointer belongs to the last one at or before it.
+    starts = items.select(F.floor(F.col("l_partkey") / 8).alias("k")).unionByName(items.select(F.floor(F.col("l_suppkey") / 8).alias("k"))).distinct()
+    rows = starts.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("img"), (F.col("k") * 8 + 1).alias("addr"))
+    matches = starts.select((F.col("k") * 8 + 1).alias("orig_addr"), (F.col("k") * 8 + 1).alias("recomp_addr"))
+    pairs = items.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", (F.col("l_partkey") + 1).alias("orig_value"), (F.col("l_suppkey") + 1).alias("recomp_value"))
+    found = compare.pointers_equal(pairs, State.of(spark, rows, matches))
+    return found.select("l_orderkey", "l_linenumber", "l_extendedprice", "pointer_equal")
+
+
+@query("SELECT DISTINCT o_custkey * 9 AS addr FROM orders WHERE o_custkey * 9 >= 1000 AND o_custkey * 9 < 1000 + 100 + (SELECT max(n_nationkey) FROM nation) * 200")
+def valid_addresses(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lit("a").alias("path"), F.lit("section").alias("kind"), (F.col("n_nationkey").cast("long") * 200 + 1000).alias("addr"), F.lit(100).cast("long").alias("size"))
+    image = spark.createDataFrame([("a", "image", 1000, None)], "path string, kind string, addr long, size long")
+    return images.valid_address(n.unionByName(image), table(spark, sf_dir, "orders").select(F.lit("a").alias("path"), (F.col("o_custkey") * 9).alias("addr")).distinct()).select("addr")
+
+
+@query("SELECT s_suppkey AS addr FROM supplier WHERE s_nationkey % 8 >= 4 AND s_nationkey % 2 = 0")
+def image_regions(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.lit("section").alias("kind"), F.col("s_suppkey").alias("addr"), F.col("s_nationkey").cast("long").alias("n1"))
+    return images.regions(rows, 4, 1).select("addr")
+
+
+@query("SELECT DISTINCT l_orderkey AS func_addr, l_partkey * 16 + 1048576 AS used, l_linenumber = 1 AS is_write, (l_orderkey * 100 + l_linenumber) * 16 + CASE WHEN l_linenumber = 1 THEN 0 ELSE 8 END AS seq FROM lineitem WHERE l_partkey % 3 <> 0")
+def start_up_samples(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    place = F.concat(F.lit("dword ptr ["), codec.to_hex(F.col("l_partkey") * 16 + (1 << 20)), F.lit("]"))
+    operands = F.when(F.col("l_linenumber") == 1, F.concat(place, F.lit(", eax"))).otherwise(F.concat(F.lit("eax, "), place))
+    at = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    code = items.select(F.lit(0).alias("img"), F.col("l_orderkey").alias("func_addr"), at.alias("addr"), F.lit("mov").alias("mnemonic"), operands.alias("op_str"))
+    ends = items.select("l_orderkey").distinct().select(F.lit(0).alias("img"), F.col("l_orderkey").alias("func_addr"), (F.col("l_orderkey") * 100 + 50).alias("addr"), F.lit("ret").alias("mnemonic"), F.lit("").alias("op_str"))
+    known = items.where("l_partkey % 3 <> 0").select(F.lit(0).alias("img"), (F.col("l_partkey") * 16 + (1 << 20)).alias("addr")).distinct().withColumn("orig_addr", F.col("addr"))
+    return naming.fingerprints(code.unionByName(ends), known).select("func_addr", "used", "is_write", "seq").distinct()
