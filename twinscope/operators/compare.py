@@ -96,12 +96,17 @@ def variables(pairs: DataFrame, layout: DataFrame, state: State | None = None) -
 STACK_OFFSET = r"(?<![a-z])e[bs]p [+-] 0x[0-9a-f]+\]"
 
 
-def stack_offset(text: Column) -> Column:
-    """The frame register and offset that an instruction uses; null if none."""
-    found = F.regexp_substr(text, F.lit(STACK_OFFSET))
+def _place(found: Column) -> Column:
+    """The register and offset in a text as STACK_OFFSET finds it."""
     digits = F.substring(found, F.lit(9), F.length(found) - 9)
     offset = F.conv(digits, 16, 10).cast("long") * F.when(F.substring(found, 5, 1) == "-", -1).otherwise(1)
-    return F.when(found.isNotNull(), F.struct(F.substring(found, 1, 3).alias("register"), offset.alias("offset")))
+    return F.struct(F.substring(found, 1, 3).alias("register"), offset.alias("offset"))
+
+
+def stack_offset(text: Column) -> Column:
+    """The frame register and offset that an instruction uses; null if none."""
+    found = F.regexp_extract(text, STACK_OFFSET, 0)
+    return F.when(found != "", _place(found))
 
 
 def stack_pairs(blocks: DataFrame, key: str = "orig_addr") -> DataFrame:
@@ -112,9 +117,13 @@ def stack_pairs(blocks: DataFrame, key: str = "orig_addr") -> DataFrame:
     block is decided where it is; only distinct pairs are exchanged.
     """
     usable = blocks.where(F.size("orig") == F.size("recomp"))
-    zipped = F.transform(F.arrays_zip("orig", "recomp"), lambda x: F.struct(stack_offset(x["orig"]).alias("orig"), stack_offset(x["recomp"]).alias("recomp")))
-    known = usable.select(key, F.filter(zipped, lambda x: x["orig"].isNotNull()).alias("pairs")).where(F.forall("pairs", lambda x: x["recomp"].isNotNull()))
-    return known.select(key, F.explode("pairs").alias("x")).select(key, "x.orig", "x.recomp").distinct()
+    # One search a line; the rest works on what it has found.
+    found = lambda c: F.transform(c, lambda x: F.regexp_extract(x, STACK_OFFSET, 0))
+    both = usable.select(key, F.arrays_zip(found("orig").alias("o"), found("recomp").alias("r")).alias("z"))
+    broken = F.exists("z", lambda x: (x["o"] != "") & (x["r"] == ""))
+    none = F.array().cast("array<struct<o:string,r:string>>")
+    said = both.select(key, F.explode(F.when(broken, none).otherwise(F.filter("z", lambda x: x["o"] != ""))).alias("x"))
+    return said.select(key, _place(F.col("x.o")).alias("orig"), _place(F.col("x.r")).alias("recomp")).distinct()
 
 
 def structural_mismatches(blocks: DataFrame) -> DataFrame:
