@@ -18,3 +18,9 @@ def test_match_static_variables_uses_every_part(spark, tmp_path):
                 want.add((k * 16 + queries.BASE + 8, at * 16 + queries.BASE))
     got = queries.match_static_variables(spark, str(tmp_path)).collect()
     assert len(want) > 30 and {(r.orig_addr, r.recomp_addr) for r in got} == want
+
+
+def test_match_static_variables_with_many_of_one_name(spark, tmp_path):
+    spark.createDataFrame([(k, "red part", "Brand#1", "SMALL", 1) for k in range(100)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.match_static_variables(spark, str(tmp_path)).collect()
+    assert sorted((r.orig_addr, r.recomp_addr) for r in got) == [(k * 16 + queries.BASE + 8, (k + 1) * 16 + queries.BASE) for k in range(0, 100, 2)]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,27 @@ def test_first_pairs(spark):
     assert sorted((r.a, r.b) for r in joins.first_pairs(p, "a", "b", "o").collect()) == [(1, 5), (2, 6), (3, 7)]
 
 
+def test_first_pairs_of_a_long_chain(spark):
+    every = [(a, b, a * 50 + b) for a in range(50) for b in range(50)] + [(k, k + d, 9000 + 2 * k + d) for k in range(100, 180) for d in (0, 1)]
+    got = joins.first_pairs(spark.createDataFrame(every, "a int, b int, o int"), "a", "b", "o").collect()
+    assert sorted((r.a, r.b) for r in got) == [(k, k) for k in [*range(50), *range(100, 180)]]
+
+
+def test_first_free(spark):
+    r = random.Random(5)
+    lefts = [(r.choice([1, 2, 3, 4, 5, 6, 7]), a) for a in r.sample(range(1000), 150)]
+    rights = [(r.choice([1, 2, 3, 4, 5, 6, 7, 9]), a) for a in r.sample(range(1000), 150)]
+    links = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (4, 4), (4, 5), (5, 6), (6, 6), (7, 7), (7, 7), (8, 9), (6, 8)]
+    free, want = sorted((a, form) for form, a in rights), []
+    for a, kind in sorted((a, kind) for kind, a in lefts):
+        at = next((x for x in free if (kind, x[1]) in links), None)
+        if at is not None:
+            free.remove(at)
+            want.append((a, at[0]))
+    made = [spark.createDataFrame(x, f"{a} long, {b} long") for x, a, b in ((lefts, "kind", "left"), (rights, "form", "right"), (links, "kind", "form"))]
+    assert sorted(tuple(x) for x in joins.first_free(*made).collect()) == sorted(want) and len(want) > 80
+
+
 def test_set_null(spark):
     st = state(spark, (0, 1, {"name": "a", "symbol": "b"}))
     got = st.upsert(store.delta(spark.createDataFrame([(1,), (2,)], "addr long"), {"name": F.lit(None)}, s.ORIG)).entities.orderBy("addr").collect()

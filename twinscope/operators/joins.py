@@ -7,6 +7,8 @@ all rows in one task.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,13 +95,76 @@ def greedy_pairs(candidates: DataFrame, group: Sequence[str], left: str, right:
     return candidates.groupBy(*group).applyInPandas(assign, schema)
 
 
+def pieces(links: DataFrame, left: str, right: str) -> DataFrame:
+    """The distinct links (left, right) with ``piece``, the smallest left of those that
+    are connected with theirs.
+
+    Each round takes the smallest piece across all links and then the piece of that one,
+    so the number of rounds grows with the logarithm of the longest chain."""
+    at = lineage.cut(links.select(left, right).distinct().withColumn("piece", F.col(left)))
+    while True:
+        across = at.groupBy(right).agg(F.min("piece").alias("_p"))
+        near = lineage.cut(at.join(across, right).groupBy(left).agg(F.min("_p").alias("_p")))
+        far = near.join(near.select(F.col(left).alias("_p"), F.col("_p").alias("_q")), "_p").select(left, "_q")
+        moved = lineage.cut(at.join(far, left).select(left, right, F.col("_q").alias("piece"), (F.col("_q") < F.col("piece")).alias("_moved")))
+        at = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return at
+
+
+def first_free(lefts: DataFrame, rights: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (left, right): each of the ``lefts`` (kind, left) in order takes the smallest
+    of the ``rights`` (form, right) still free whose form ``links`` (kind, form) gives its
+    kind. All are long.
+
+    Where a connected piece of the links has all links that it can have, the n-th left
+    takes the n-th right. Elsewhere order matters, and a piece is one task; its rows are
+    its members and links, never the pairs of members."""
+    at = pieces(links, "kind", "form")
+    full = at.groupBy("piece").agg((F.count("*") == F.count_distinct("kind") * F.count_distinct("form")).alias("full"))
+    l = lefts.join(at.select("kind", "piece").distinct(), "kind").join(full, "piece")
+    r = rights.join(at.select("form", "piece").distinct(), "form").join(full, "piece")
+    plain = nth_occurrence_join(l.where("full").select("piece", "left"), r.where("full").select("piece", "right"), ["piece"], ["left"], ["right"])
+
+    def row(df: DataFrame, what: int, a: str, b: str) -> DataFrame:
+        return df.where("not full").select("piece", F.lit(what).alias("what"), F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def assign(pdf):
+        of = {what: part[["a", "b"]].sort_values("b").to_numpy().tolist() for what, part in pdf.groupby("what")}
+        free, heads, out = defaultdict(deque), defaultdict(list), []
+        for form, one in of.get(1, ()):
+            free[form].append(one)
+        for kind, form in of.get(0, ()):
+            if free[form]:
+                heads[kind].append((free[form][0], form))
+        for heap in heads.values():
+            heapq.heapify(heap)
+        for kind, one in of.get(2, ()):
+            # What a heap holds of a form may be taken by now; then it is below what is free.
+            heap = heads[kind]
+            while heap:
+                head, form = heap[0]
+                if not free[form]:
+                    heapq.heappop(heap)
+                elif free[form][0] != head:
+                    heapq.heapreplace(heap, (free[form][0], form))
+                else:
+                    out.append((one, free[form].popleft()))
+                    break
+        return pdf.__class__(out, columns=["left", "right"], dtype="int64")
+
+    rows = row(at.join(full, "piece"), 0, "kind", "form").unionByName(row(r, 1, "form", "right")).unionByName(row(l, 2, "kind", "left"))
+    return plain.select("left", "right").unionByName(rows.groupBy("piece").applyInPandas(assign, "left long, right long"))
+
+
 def first_pairs(pairs: DataFrame, left: str, right: str, order: str, rounds: int = 30) -> DataFrame:
     """Of ordered pairs, those that survive when each left and each right may be used
     once and the first pair in order wins.
 
     A pair is kept if it is the first of both its sides; then pairs that share a side
     with a kept one go, and so on. Each round is two windows; the number of rounds is
-    the longest chain of pairs that wait for each other, mostly one or two."""
+    the longest chain of pairs that wait for each other, mostly one or two. What waits
+    for longer than ``rounds`` is taken in order, a connected piece a task."""
     left_pairs, kept = pairs, None
     for _ in range(rounds):
         lo = F.min(order).over(Window.partitionBy(left))
@@ -111,4 +176,18 @@ def first_pairs(pairs: DataFrame, left: str, right: str, order: str, rounds: int
         left_pairs = marked.where("not _first").drop("_first").join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")
         if left_pairs.isEmpty():
             return kept
-    raise RuntimeError(f"pairs wait for each other over more than {rounds} rounds")
+    left_pairs = lineage.cut(left_pairs)
+    in_piece = lineage.cut(numbered(left_pairs.join(pieces(left_pairs, left, right), [left, right]), ["piece"], [order], "_n"))
+
+    def in_order(pdf):
+        used, out = (set(), set()), []
+        for n, a, b in pdf.sort_values("_n")[["_n", left, right]].itertuples(index=False):
+            if a not in used[0] and b not in used[1]:
+                used[0].add(a)
+                used[1].add(b)
+                out.append(n)
+        return pdf[pdf["_n"].isin(out)][["piece", "_n"]]
+
+    kind = left_pairs.schema[left].dataType.simpleString()
+    won = in_piece.select("piece", "_n", left, right).groupBy("piece").applyInPandas(in_order, f"piece {kind}, _n int")
+    return kept.unionByName(in_piece.join(won, ["piece", "_n"], "left_semi").drop("piece", "_n").select(*kept.columns))
