@@ -1,5 +1,7 @@
 """Registered queries without SQL, against brute force over whole tables."""
 
+import math
+
 from twinscope import queries
 
 
@@ -24,3 +26,26 @@ def test_match_static_variables_with_many_of_one_name(spark, tmp_path):
     spark.createDataFrame([(k, "red part", "Brand#1", "SMALL", 1) for k in range(100)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = queries.match_static_variables(spark, str(tmp_path)).collect()
     assert sorted((r.orig_addr, r.recomp_addr) for r in got) == [(k * 16 + queries.BASE + 8, (k + 1) * 16 + queries.BASE) for k in range(0, 100, 2)]
+
+
+def orders(spark, tmp_path):
+    """Five reports of 500 rows. All prices are half-way between two accuracies, but some of
+    the shares are, as doubles, just below."""
+    rows = [(k, k % 500, "P" if k % 13 == 0 else "F", 40.0 * (k * 7 % 500) + 20, f"{k // 500 + 1}-X") for k in range(2500)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = []
+    for k, cust, status, price, priority in rows:
+        accuracy = min(1.0, math.floor(price / 400000 * 10000 + 0.5) / 10000)
+        found.append((int(priority[0]), hex(cust), accuracy, k % 7 == 0, status == "P"))
+    return found
+
+
+def ranked(found):
+    rank = lambda r: -1.0 if r[4] else 1.0 if r[3] else r[2]
+    return sorted(found, key=lambda r: (-rank(r), r[1], r[0]))
+
+
+def test_ui_pages_round_as_their_sql(spark, tmp_path):
+    want = [(r[0], r[1], n // 200, n % 200 + 1) for n, r in enumerate(ranked(orders(spark, tmp_path)))]
+    got = queries.ui_pages(spark, str(tmp_path)).select("sample_id", "orig_addr", "page", "row").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)

@@ -349,7 +349,7 @@ def samples(spark, sf_dir) -> DataFrame:
     k = F.col("o_orderkey")
     return o.select(
         F.substring("o_orderpriority", 1, 1).cast("int").alias("sample_id"), F.lit("a.dll").alias("filename"), codec.to_hex(F.col("o_custkey")).alias("orig_addr"), F.when(k % 11 != 0, codec.to_hex(F.col("o_custkey") + k % 3)).alias("recomp_addr"),
-        F.concat(F.lit("f"), "o_custkey").alias("name"), F.when(k % 4 == 3, 5).when(k % 4 != 0, 1).alias("type"), F.least(F.lit(1.0), F.round(F.col("o_totalprice") / 400000, 4)).alias("accuracy"), (k % 7 == 0).alias("is_effective_match"), (F.col("o_orderstatus") == "P").alias("is_stub"),
+        F.concat(F.lit("f"), "o_custkey").alias("name"), F.when(k % 4 == 3, 5).when(k % 4 != 0, 1).alias("type"), F.least(F.lit(1.0), report.rounded(F.col("o_totalprice") / 400000, 4)).alias("accuracy"), (k % 7 == 0).alias("is_effective_match"), (F.col("o_orderstatus") == "P").alias("is_stub"),
     )
 
 
