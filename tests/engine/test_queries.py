@@ -2,7 +2,7 @@
 
 import math
 
-from twinscope import queries
+from twinscope import queries, queries_more
 
 
 def parts(n=120):
@@ -49,3 +49,9 @@ def test_ui_pages_round_as_their_sql(spark, tmp_path):
     want = [(r[0], r[1], n // 200, n % 200 + 1) for n, r in enumerate(ranked(orders(spark, tmp_path)))]
     got = queries.ui_pages(spark, str(tmp_path)).select("sample_id", "orig_addr", "page", "row").collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_one_line_matches_rounds_as_its_sql(spark, tmp_path):
+    text = {(r[1], "stub" if r[4] else f"{100 * (1.0 if r[3] else r[2]):.2f}%" + "*" * r[3]) for r in orders(spark, tmp_path)}
+    got = queries_more.one_line_matches(spark, str(tmp_path)).collect()
+    assert len(got) == 2500 and {(r.orig_addr, r.line.split(" is ")[1].removesuffix(" similar to the original")) for r in got} == text
