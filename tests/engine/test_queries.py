@@ -55,3 +55,9 @@ def test_one_line_matches_rounds_as_its_sql(spark, tmp_path):
     text = {(r[1], "stub" if r[4] else f"{100 * (1.0 if r[3] else r[2]):.2f}%" + "*" * r[3]) for r in orders(spark, tmp_path)}
     got = queries_more.one_line_matches(spark, str(tmp_path)).collect()
     assert len(got) == 2500 and {(r.orig_addr, r.line.split(" is ")[1].removesuffix(" similar to the original")) for r in got} == text
+
+
+def test_ui_page_headings_round_as_their_sql(spark, tmp_path):
+    paged = [r[1] for r in ranked(orders(spark, tmp_path))]
+    got = queries.ui_page_headings(spark, str(tmp_path)).collect()
+    assert sorted((r.page, r.first, r.last) for r in got) == [(n // 200, paged[n], paged[min(n + 199, 2499)]) for n in range(0, 2500, 200)]
