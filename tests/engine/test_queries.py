@@ -61,3 +61,10 @@ def test_ui_page_headings_round_as_their_sql(spark, tmp_path):
     paged = [r[1] for r in ranked(orders(spark, tmp_path))]
     got = queries.ui_page_headings(spark, str(tmp_path)).collect()
     assert sorted((r.page, r.first, r.last) for r in got) == [(n // 200, paged[n], paged[min(n + 199, 2499)]) for n in range(0, 2500, 200)]
+
+
+def test_dump_contributions_of_modules_beyond_four_digits(spark, tmp_path):
+    keys = [(k, 65530 + k) for k in range(20)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries_more.dump_contributions(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((m, k % 5 + 1, k * 16, k % 16 + 1) for k, m in keys)

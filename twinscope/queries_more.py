@@ -27,7 +27,8 @@ def _dump(spark, section: str, rows: DataFrame) -> DataFrame:
 
 
 def _digits(c: Column, n: int = 8) -> Column:
-    return F.lpad(F.hex(c), n, "0")
+    """Hexadecimal, with zeros up to ``n`` digits; a number that has more keeps them."""
+    return F.lpad(F.hex(c), F.greatest(F.length(F.hex(c)), F.lit(n)), "0")
 
 
 @query("SELECT 'c:\\src\\o' || l_orderkey || '.cpp' AS path, CAST(l_linenumber AS INTEGER) AS line_number, CAST(l_orderkey % 4 + 1 AS INTEGER) AS section, l_partkey AS \"offset\" FROM lineitem")

@@ -18,7 +18,7 @@ SECTION = r"^\*\*\* ([A-Z][A-Z ]*[A-Z])\s*$"
 LINES_HEAD = r"^\s*(.+?) \((?:None|\w+: [0-9A-F]+)\), ([0-9A-F]{4}):([0-9A-F]{8})-([0-9A-F]{8}), line/addr pairs = (\d+)"
 LINE_PAIR = r"\s+(\d+) ([0-9A-F]{8})"
 PUBLIC = r"^(\w+): \[(\w{4}):(\w{8})\], Flags: (\w{8}), (\S+)"
-CONTRIBUTION = r"^\s*(\w{4})  (\w{4}):(\w{8})  (\w{8})  (\w{8})"
+CONTRIBUTION = r"^\s*(\w{4,})  (\w{4}):(\w{8})  (\w{8})  (\w{8})"
 GLOBAL = r"S_([GL])DATA32: \[(\w{4}):(\w{8})\], Type:\s*(\S+), (.+)"
 MODULE = r'^(\w{4})(?: "([^"]+)")?? "([^"]+)"\s*$'
 SYMBOL = r"^\(\w+\)\s+([^\s:]+)(?::\s+(\S.*))?"
