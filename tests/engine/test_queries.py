@@ -68,3 +68,10 @@ def test_dump_contributions_of_modules_beyond_four_digits(spark, tmp_path):
     spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = queries_more.dump_contributions(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted((m, k % 5 + 1, k * 16, k % 16 + 1) for k, m in keys)
+
+
+def test_dump_modules_beyond_four_digits(spark, tmp_path):
+    keys = [(k, k % 25) for k in (0, 9, 65535, 65536, 70000, 1 << 20)]
+    spark.createDataFrame(keys, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries_more.dump_modules(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(k, f"lib{n}.lib" if k % 3 == 0 else None, f"obj/{k}.obj") for k, n in keys}

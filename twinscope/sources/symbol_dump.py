@@ -20,7 +20,7 @@ LINE_PAIR = r"\s+(\d+) ([0-9A-F]{8})"
 PUBLIC = r"^(\w+): \[(\w{4}):(\w{8})\], Flags: (\w{8}), (\S+)"
 CONTRIBUTION = r"^\s*(\w{4,})  (\w{4}):(\w{8})  (\w{8})  (\w{8})"
 GLOBAL = r"S_([GL])DATA32: \[(\w{4}):(\w{8})\], Type:\s*(\S+), (.+)"
-MODULE = r'^(\w{4})(?: "([^"]+)")?? "([^"]+)"\s*$'
+MODULE = r'^(\w{4,})(?: "([^"]+)")?? "([^"]+)"\s*$'
 SYMBOL = r"^\(\w+\)\s+([^\s:]+)(?::\s+(\S.*))?"
 PROCEDURE = r"\[(\w{4}):(\w{8})\], Cb: (\w+), Type:\s+([^\s,]+), (.+)"
 STORED = r"^(\S+), Type:\s+([\w()]+), (.+)$"
