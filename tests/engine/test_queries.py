@@ -57,6 +57,14 @@ def test_one_line_matches_rounds_as_its_sql(spark, tmp_path):
     assert len(got) == 2500 and {(r.orig_addr, r.line.split(" is ")[1].removesuffix(" similar to the original")) for r in got} == text
 
 
+def test_one_line_matches_below_zero_and_without_a_key(spark, tmp_path):
+    rows = [(None, 1, "F", 100000.0, "1-X"), (3, 1, "F", 300000.0, "1-X"), (1, 2, "F", -5.0, "1-X"), (2, 3, "F", -0.0, "1-X"), (4, 4, "F", 5.0, "1-X"), (5, 5, "F", -80.0, "1-X")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries_more.one_line_matches(spark, str(tmp_path)).collect()
+    want = ["f1 (0x1 / 0x1) is 75.00%", "f2 (0x2 / 0x3) is -0.00%", "f3 (0x3 / 0x5) is -0.00%", "f4 (0x4 / 0x5) is 0.00%", "f5 (0x5 / 0x7) is -0.02%"]
+    assert sorted(r.line.removesuffix(" similar to the original") for r in got) == want
+
+
 def test_ui_page_headings_round_as_their_sql(spark, tmp_path):
     paged = [r[1] for r in ranked(orders(spark, tmp_path))]
     got = queries.ui_page_headings(spark, str(tmp_path)).collect()

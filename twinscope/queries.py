@@ -345,7 +345,7 @@ _REP = """rep AS (SELECT * FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS IN
 
 
 def samples(spark, sf_dir) -> DataFrame:
-    o = joins.numbered(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"], ["o_orderkey"], "rn").where("rn = 1")
+    o = joins.numbered(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"], [F.col("o_orderkey").asc_nulls_last()], "rn").where("rn = 1")
     k = F.col("o_orderkey")
     return o.select(
         F.substring("o_orderpriority", 1, 1).cast("int").alias("sample_id"), F.lit("a.dll").alias("filename"), codec.to_hex(F.col("o_custkey")).alias("orig_addr"), F.when(k % 11 != 0, codec.to_hex(F.col("o_custkey") + k % 3)).alias("recomp_addr"),
