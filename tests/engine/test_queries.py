@@ -71,6 +71,15 @@ def test_ui_page_headings_round_as_their_sql(spark, tmp_path):
     assert sorted((r.page, r.first, r.last) for r in got) == [(n // 200, paged[n], paged[min(n + 199, 2499)]) for n in range(0, 2500, 200)]
 
 
+def test_ui_page_headings_with_rows_without_an_address(spark, tmp_path):
+    """Equal ranks, so rows without an address are the last of all, and head no page."""
+    rows = [(7 * k + 1, k if k < 250 else None, "F", 40000.0, f"{k % 5 + 1}-X") for k in range(255)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    paged = sorted(hex(k) for k in range(250))
+    got = queries.ui_page_headings(spark, str(tmp_path)).collect()
+    assert sorted((r.page, r.first, r.last) for r in got) == [(0, paged[0], paged[199]), (1, paged[200], paged[249])]
+
+
 def test_dump_contributions_of_modules_beyond_four_digits(spark, tmp_path):
     keys = [(k, 65530 + k) for k in range(20)]
     spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")

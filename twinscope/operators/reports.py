@@ -119,14 +119,14 @@ def search(rows: DataFrame, query: str = "", kind: str = "name", hide_perfect: b
 
 def sort_columns(column: str, descending: bool = False) -> list[Column]:
     """Order by one column; accuracy ranks as results do. Equal rows keep their order,
-    which is that of addresses."""
+    which is that of addresses; rows without a value or an address come last."""
     key = report.accuracy_rank(F.col("accuracy"), F.col("is_effective_match"), F.col("is_stub")) if column == "accuracy" else F.col(column)
-    return [key.desc() if descending else key.asc(), F.col("orig_addr").asc()]
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("orig_addr").asc_nulls_last()]
 
 
 def page_headings(paged: DataFrame, order: Sequence[Column], shown: str) -> DataFrame:
-    """The first and last value of each page."""
-    key = F.struct(*[F.col(c) for c in ("page", "row")])
+    """The first and last value of each page, of the rows that have one."""
+    key = F.when(F.col(shown).isNotNull(), F.struct("page", "row"))
     return paged.groupBy("page").agg(F.min_by(shown, key).alias("first"), F.max_by(shown, key).alias("last"))
 
 

@@ -406,7 +406,7 @@ _PAGED = f"WITH {_REP}, s AS (SELECT sample_id, orig_addr, name, row_number() OV
 
 def _paged(spark, sf_dir) -> DataFrame:
     rows = samples(spark, sf_dir)
-    order = [*reports.sort_columns("accuracy", descending=True), F.col("sample_id")]
+    order = [*reports.sort_columns("accuracy", descending=True), F.col("sample_id").asc_nulls_last()]
     return joins.numbered(windows.pages(rows, order, 200), ["page"], order, "row")
 
 
