@@ -22,6 +22,45 @@ def test_ids_are_those_of_the_tokenizer():
         assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_met_again_outlive_those_met_once(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    monkeypatch.setattr(packing, "CACHED_PARTS", 50, raising=False)
+    own, whole = packing.WordEncoder(open(PATH).read()), Tokenizer.from_file(PATH)
+    asked, word = [], own.word
+    own.word = lambda w: asked.append(w) or word(w)
+    for step in range(20):
+        texts = [" ".join(f"x{step}y{i} often{i % 7}" for i in range(100)), "", "Often met, it's été"]
+        at = np.cumsum([0] + [len(t.encode()) for t in texts])
+        ids, n = own.rows(np.frombuffer("".join(texts).encode(), np.uint8), at)
+        for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        assert len(own._h) <= 300 + 2 * 111 and len(own._parts) <= 50
+    assert len(asked) == len(set(asked)) == 20 * 100 + 7 + 4
+
+
+def test_a_batch_is_encoded_in_steps_of_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own = packing.WordEncoder(open(PATH).read())
+    texts = pa.array(["some words of a text that is packed " * 60] * 1900)
+    tracemalloc.start()
+    for _, _, data, at in packing.shared.text_steps(texts, packing.STEP_BYTES):
+        own.rows(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
+def test_waiting_pieces_do_not_keep_their_documents():
+    p = packing.Packer(4096, 32, 0)
+    for i in range(20):
+        list(p.add((i, 4096 * 5 + 100), np.zeros(4096 * 5 + 100, "<u4")))
+    held = [ids for pieces in p._open.values() for _, _, ids in pieces]
+    assert held and all(ids.base is None for ids in held)
+
+
 def test_classes_fill_their_bins():
     p = packing.Packer(4096, 32, 0)
     for n in range(1, 13000, 7):

@@ -28,13 +28,23 @@ from pyspark.sql import functions as F
 
 from twinscope.llm import shared
 
-#: Words whose ids a worker remembers (about 200 bytes each); it starts over when there are more.
-CACHED_WORDS = 800_000
-#: Bytes of text that are encoded in one step.
-STEP_BYTES = 4 << 20
+#: Words whose ids a worker remembers (about 40 bytes each); those met only once go when there are more.
+CACHED_WORDS = 400_000
+#: Parts of words whose ids a worker remembers (about 250 bytes each), twice.
+CACHED_PARTS = 40_000
+#: Bytes of text that are encoded in one step, which takes about 40 times as many.
+STEP_BYTES = 1 << 20
+#: Pieces of one batch that a worker gives back, of at most a sequence each.
+BATCH_PIECES = 250
 _PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of many runs, ``size`` of them, one after another."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class WordEncoder:
     """Ids of whole texts by a tokeniser that drops white space and joins nothing
     across it, so that a text's ids are those of its words.
@@ -49,12 +59,19 @@ class WordEncoder:
 
         self._whole = Tokenizer.from_str(definition)
         self._model = self._whole.model
-        self._forget()
+        self._parts: dict[str, tuple[int, ...]] = {}
+        self._old_parts: dict[str, tuple[int, ...]] = {}
+        # By hash: where the ids are, and whether the word was met again.
+        self._h, self._met = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self._start, self._size, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def _forget(self) -> None:
-        self._parts: dict[str, tuple[int, ...]] = {}
-        self._h, self._entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self._start, self._size, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        """Keep the words met again since they came or were last kept."""
+        stay = self._met
+        self._h, self._met = self._h[stay], np.zeros(int(stay.sum()), bool)
+        self._ids = self._ids[_places(self._start[stay], self._size[stay])]
+        self._size = self._size[stay]
+        self._start = np.cumsum(self._size, dtype=np.int64) - self._size
 
     def word(self, word: str) -> list[int]:
         if not word.isascii() or not word.isprintable() or "'" in word or "<|" in word:
@@ -63,20 +80,23 @@ class WordEncoder:
         for part in _PIECES.findall(word.lower()):
             ids = self._parts.get(part)
             if ids is None:
-                ids = self._parts[part] = tuple(x.id for x in self._model.tokenize(part))
+                ids = self._old_parts.get(part) or tuple(x.id for x in self._model.tokenize(part))
+                if len(self._parts) >= CACHED_PARTS:
+                    self._old_parts, self._parts = self._parts, {}
+                self._parts[part] = ids
             out += ids
         return out
 
     def _learn(self, h: np.ndarray, words: list[str]) -> None:
         ids = [self.word(w) for w in words]
-        size = np.array([len(x) for x in ids], np.int64)
+        size = np.array([len(x) for x in ids], np.int32)
         flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
+        start = np.concatenate([self._start, len(self._ids) + np.cumsum(size, dtype=np.int64) - size])
         h = np.concatenate([self._h, h])
-        entry = np.concatenate([self._entry, len(self._start) + np.arange(len(words))])
         order = np.argsort(h, kind="stable")  # two sorted runs, merged
-        self._h, self._entry = h[order], entry[order]
-        self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(size) - size])
-        self._size = np.concatenate([self._size, size])
+        self._h, self._start = h[order], start[order]
+        self._size = np.concatenate([self._size, size])[order]
+        self._met = np.concatenate([self._met, np.zeros(len(words), bool)])[order]
         self._ids = np.concatenate([self._ids, flat])
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +111,16 @@ class WordEncoder:
         new = np.ones(len(kinds), bool)
         if len(self._h):
             new = self._h[np.minimum(slot, len(self._h) - 1)] != kinds
+            self._met[slot[~new]] = True
         if new.any():
             whole, i = data.tobytes(), first[new]
             self._learn(kinds[new], [whole[s:e].decode() for s, e in zip(starts[i].tolist(), ends[i].tolist())])
             slot = np.searchsorted(self._h, kinds)
-        entry = self._entry[slot][which]
+        entry = slot[which]
         n = self._size[entry]
         upto = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
-        ids = self._ids[np.repeat(self._start[entry] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, np.diff(upto[before])
+        return self._ids[_places(self._start[entry], n)], np.diff(upto[before])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -145,7 +165,8 @@ class Packer:
         start = 0
         for k, size in self.cuts(len(ids)):
             held = self._open.setdefault(k, [])
-            held.append((doc, start, ids[start : start + size]))
+            part = ids[start : start + size]
+            held.append((doc, start, part.copy() if k > 1 else part))  # what waits must not keep the whole document
             start += size
             if len(held) == k:
                 yield from self._sequence(self._open.pop(k))
@@ -206,12 +227,12 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                 for name, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.split(flat, np.cumsum(n)[:-1])):
                     ids = np.concatenate([ids, end])
                     ready += packer.add((name, len(ids)), ids)
-                    if len(ready) >= 1000:
+                    if len(ready) >= BATCH_PIECES:
                         yield table(ready)
                         ready = []
         ready += packer.finish()
-        for i in range(0, len(ready), 1000):
-            yield table(ready[i : i + 1000])
+        for i in range(0, len(ready), BATCH_PIECES):
+            yield table(ready[i : i + BATCH_PIECES])
 
     out = rows.mapInArrow(work, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("key", key)
